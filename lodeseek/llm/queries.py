@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeseek.llm import packing
+from lodeseek.llm import mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,33 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing,)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"), weight=mixing.quality(), keep=False)
+    return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_mix_sources)}
+
+#: Key, prefix sum and water level are said here without buckets: whole windows by source.
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+    / greatest(0.05, coalesce(pow(length(regexp_replace(text, '[#*$%&|<>]+', '', 'g'))::DOUBLE / nullif(length(text), 0), 8), 1.0)) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS n, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM s),
+l AS (SELECT *, 2 * n / w AS ratio,
+    ((SELECT sum(n) FROM w) * 1.5 - coalesce(sum(2 * n) OVER (ORDER BY 2 * n / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY 2 * n / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM w),
+g AS (SELECT source, n, least(2 * n, w * (SELECT arg_min(lam, ratio * 1e6 + place) FROM l WHERE lam <= ratio)) AS target FROM l),
+e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS epochs FROM g),
+r AS (SELECT d.*, e.n, e.target, e.epochs, e.target - e.epochs * e.n AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
+  (size * (epochs + CASE WHEN before + size / 2.0 <= budget AND n > 0 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": MIX_SQL}
