@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import mixing, packing
+from lodeseek.llm import mixing, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_mix_sources)}
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_mix_sources, op7_warc_round_trip)}
 
 #: Key, prefix sum and water level are said here without buckets: whole windows by source.
 MIX_SQL = r"""
@@ -55,4 +59,16 @@ SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": MIX_SQL}
+#: Base32 is four letters for each five hexadecimal digits.
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, upper(sha1(b)) AS x, last FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM h
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_warc_round_trip": WARC_SQL, "op5_mix_sources": MIX_SQL}
