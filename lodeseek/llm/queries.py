@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import mixing, packing, warc
+from lodeseek.llm import mixing, packing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op2_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(table(spark, sf_dir, "documents"), texts=False).drop("clean_text")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf_dir, "documents"), weight=mixing.quality(), keep=False)
     return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
@@ -35,7 +39,34 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_mix_sources, op7_warc_round_trip)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_clean_lines, op5_mix_sources, op7_warc_round_trip)}
+
+#: Rows are numbered, so that repeated ids stay apart; windows of three are counted within a row.
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+g AS (SELECT r, i, w, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM w WINDOW x AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) > 1 AS twice FROM g WHERE w3 IS NOT NULL),
+p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM c WHERE twice) GROUP BY r),
+n AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY r),
+l AS (SELECT r, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT r, string_split(t, chr(10)) AS ls FROM d)),
+f AS (SELECT r, i, l, regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS b, row_number() OVER (PARTITION BY r, l ORDER BY i) > 1 AS dup
+  FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+j AS (SELECT r, dup, len(regexp_extract_all(b, '[^\x20\x09-\x0D]+')) AS n,
+    NOT regexp_matches(b, '@END@')
+    OR 10 * length(regexp_replace(b, '[^#*$%&|<>]', '', 'g')) >= length(b)
+    OR length(b) - length(replace(b, '|', '')) >= 3
+    OR (length(b) - length(replace(b, ' > ', ''))) / 3 + (length(b) - length(replace(b, ' » ', ''))) / 3 >= 2
+    OR regexp_matches(b, '(?i)@BOILER@')
+    OR regexp_full_match(b, '(?i)(@MENU@)([ \t|,·-]+(@MENU@))*') AS failed FROM f),
+k AS (SELECT r, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(n) FILTER (NOT failed), 0) AS kept_words FROM j GROUP BY r),
+a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(kept_words, 0)::BIGINT AS kept_words
+  FROM d LEFT JOIN n USING (r) LEFT JOIN p USING (r) LEFT JOIN k USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND 100 * kept_words >= 50 * n_words AS kept FROM b
+""".replace("@END@", quality.LINE_END.replace("'", "''")).replace("@BOILER@", quality.BOILERPLATE).replace("@MENU@", quality.MENU)
 
 #: Key, prefix sum and water level are said here without buckets: whole windows by source.
 MIX_SQL = r"""
@@ -71,4 +102,4 @@ SELECT page_id, payload_bytes,
 FROM h
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_warc_round_trip": WARC_SQL, "op5_mix_sources": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_clean_lines": QUALITY_SQL, "op7_warc_round_trip": WARC_SQL, "op5_mix_sources": MIX_SQL}
