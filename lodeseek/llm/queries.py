@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import langid, mixing, packing, quality, warc
+from lodeseek.llm import langid, minhash, mixing, packing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +44,11 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_clean_lines, op4_identify_languages, op5_mix_sources, op7_warc_round_trip)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_clean_lines, op4_identify_languages, op5_mix_sources, op7_warc_round_trip, op10_near_duplicates)}
 
 #: Rows are numbered, so that repeated ids stay apart; windows of three are counted within a row.
 QUALITY_SQL = r"""
@@ -95,6 +99,21 @@ SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
 FROM r
 """
 
+#: Exact: all pairs that share a shingle, and components by recursion.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS node FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.node = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, d.doc_id = coalesce(m.c, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(node) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 #: Base32 is four letters for each five hexadecimal digits.
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
@@ -107,4 +126,4 @@ SELECT page_id, payload_bytes,
 FROM h
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_clean_lines": QUALITY_SQL, "op7_warc_round_trip": WARC_SQL, "op5_mix_sources": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_near_duplicates": NEAR_SQL, "op2_clean_lines": QUALITY_SQL, "op7_warc_round_trip": WARC_SQL, "op5_mix_sources": MIX_SQL}
