@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import langid, minhash, mixing, packing, quality, warc
+from lodeseek.llm import langid, minhash, mixing, packing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,15 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
+#: The key of the test queries; a real one comes from the caller's secret store.
+PII_KEY = b"lodeseek test key"
+
+
+def op6_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, spans_col="spans")
+    return rows.select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",").alias("replaced"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -48,7 +57,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_clean_lines, op4_identify_languages, op5_mix_sources, op7_warc_round_trip, op10_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_clean_lines, op4_identify_languages, op5_mix_sources, op6_pseudonymise, op7_warc_round_trip, op10_near_duplicates)}
 
 #: Rows are numbered, so that repeated ids stay apart; windows of three are counted within a row.
 QUALITY_SQL = r"""
