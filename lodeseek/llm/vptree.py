@@ -161,7 +161,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = FA
     asked = usable(queries, id_col, vector_col)
     blocks = shards_for(asked.select("id").count(), per_block)
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).cast("int"))
-    asked = asked.join(index.select("dim", "shard"), "dim")
+    shards = index.agg(F.max("shard")).first()[0] or 0
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards)))))
     trees = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(tree: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
