@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import langid, minhash, mixing, packing, pii, quality, vptree, warc
+from lodeseek.llm import crossparse, langid, licenses, minhash, mixing, packing, pii, quality, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,11 +57,22 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op9_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference is every document labelled good and not toxic."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
+    return crossparse.cross_parsed(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_clean_lines, op3_nearest_vectors, op4_identify_languages, op5_mix_sources, op6_pseudonymise, op7_warc_round_trip, op10_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_clean_lines, op3_nearest_vectors, op4_identify_languages, op5_mix_sources, op6_pseudonymise, op7_warc_round_trip, op8_scan_licenses, op9_cross_parse, op10_near_duplicates)}
 
 #: Rows are numbered, so that repeated ids stay apart; windows of three are counted within a row.
 QUALITY_SQL = r"""
