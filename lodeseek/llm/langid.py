@@ -149,23 +149,43 @@ def fit(docs: DataFrame, max_docs: int = 3000, max_languages: int = 200, id_col:
     return build(counts)
 
 
+def identify(model: Model, texts: list[bytes | None], clear: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, whether ambiguous, and margins of each text."""
+    plain = [t or b"" for t in texts]
+    margins = model.margins(plain)
+    names = [UND] * len(plain)
+    score, lead = np.zeros(len(plain)), np.zeros(len(plain))
+    if model.languages:
+        best, score, lead = model.decode(margins)
+        names = [model.languages[i] for i in best]
+    for i, t in enumerate(plain):
+        if not has_letter(t):
+            names[i], score[i], lead[i] = UND, 0.0, 0.0
+    return names, score, lead < clear, margins
+
+
+def annotated(docs: DataFrame, model: Model, clear: float = 0.2, text_col: str = "text", into: str = "_language") -> DataFrame:
+    """docs with a struct of lang, score and ambiguous; all columns kept, nothing joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
+
+    def run(texts: pa.Array) -> pa.Array:
+        out, step = [], max(1, int(len(texts) * min(1.0, (2 << 20) / max(1, texts.nbytes))))
+        for at in range(0, len(texts), step):
+            names, score, doubt, _ = identify(shared.value, texts.slice(at, step).to_pylist(), clear)
+            out += [{"lang": a, "score": float(b), "ambiguous": bool(c)} for a, b, c in zip(names, score, doubt)]
+        return pa.array(out, kind)
+
+    return docs.withColumn(into, F.arrow_udf(run, "struct<lang:string,score:double,ambiguous:boolean>")(bytes_of(text_col)))
+
+
 def predict(docs: DataFrame, model: Model, clear: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCHEMA's columns for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), bytes_of(text_col).alias("text"))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        m = shared.value
-        texts = [t or b"" for t in rows["text"]]
-        margins = m.margins(texts)
-        names = [UND] * len(texts)
-        score, lead = np.zeros(len(texts)), np.zeros(len(texts))
-        if m.languages:
-            best, score, lead = m.decode(margins)
-            names = [m.languages[i] for i in best]
-        for i, t in enumerate(texts):
-            if not has_letter(t):
-                names[i], score[i], lead[i] = UND, 0.0, 0.0
-        return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "lang_pred": names, "score": score, "ambiguous": lead < clear, "margins": margins.tolist()}
+        names, score, doubt, margins = identify(shared.value, rows["text"], clear)
+        return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "lang_pred": names, "score": score, "ambiguous": doubt, "margins": margins.tolist()}
 
     return map_batches(src, run, SCHEMA, ARROW, max_bytes=2 << 20)
