@@ -1 +1,246 @@
-QUERIES = {}
+"""Every operator as a query over whole test tables; each value is (spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeseek.functions import bm25, dot, l2_squared, normalized, rrf_score, similarity, tokens, vector
+from lodeseek.operators import fusion, lexical
+from lodeseek.operators import vector as vec
+from lodeseek.operators.ranking import numbered, ranked, rounded, top_k, top_k_by
+from lodeseek.scratch import Scratch
+from lodeseek.sources.index import IndexBuilder, IndexReader
+
+TEXT, TWICE, K = "the of in", "the of the in the", 10
+CLUSTERS, PROBES = 8, 2
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a text and an embedding."""
+    docs = table(spark, sf_dir, "documents")
+    attributes = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    return docs.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding", attributes.alias("attributes"))
+
+
+def first_vector(rows: DataFrame) -> list[float]:
+    return list(rows.orderBy("doc_id").select("embedding").first()["embedding"])
+
+
+def hundredths(rows: DataFrame) -> DataFrame:
+    """The stated query set: every id divisible by 100."""
+    return rows.filter(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "query_id")
+
+
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.doc_lengths(documents(spark, sf_dir))
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.corpus_stats(documents(spark, sf_dir)).withColumn("avg_doc_len", rounded(F.col("avg_doc_len")))
+
+
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(documents(spark, sf_dir))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(lexical.vocabulary(lexical.postings(documents(spark, sf_dir))), ["term"], "term_id")
+
+
+def bm25_term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    p = lexical.postings(docs)
+    rows = lexical.term_scores(p, lexical.vocabulary(p), lexical.corpus_stats(docs))
+    return rows.select("term", "doc_id", "tf", "doc_freq", rounded(F.col("score")).alias("score"))
+
+
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_top_k(documents(spark, sf_dir), TEXT, K)
+
+
+def lexical_duplicate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_top_k(documents(spark, sf_dir), TWICE, K)
+
+
+def lexical_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_top_k(documents(spark, sf_dir), "nonexistentterm, ?", K)
+
+
+def lexical_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.lexical_batch(documents(spark, sf_dir), queries, K)
+
+
+def vector_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir)
+    return rows.select("doc_id", rounded(l2_squared(F.col("embedding"), vector(first_vector(rows)))).alias("distance"))
+
+
+def vector_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir)
+    return rows.select("doc_id", rounded(dot(F.col("embedding"), vector(first_vector(rows)))).alias("product"))
+
+
+def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir).select("doc_id", F.posexplode(normalized(F.col("embedding"))).alias("pos", "value"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), rounded(F.col("value")).alias("value"))
+
+
+def vector_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir)
+    return vec.vector_top_k(rows, first_vector(rows), K)
+
+
+def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir)
+    return vec.vector_batch(rows, hundredths(rows), K)
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+    rows = embeddings(spark, sf_dir)
+    return rows, vec.kmeans(vec.training_rows(rows), CLUSTERS)
+
+
+def kmeans_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _trained(spark, sf_dir)
+    rows = vec.centroid_table(spark, c).select("cluster_id", F.posexplode("centroid").alias("pos", "value"))
+    return rows.select("cluster_id", F.col("pos").cast("long").alias("pos"), rounded(F.col("value")).alias("value"))
+
+
+def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec.assign(*_trained(spark, sf_dir)).select("doc_id", "cluster_id")
+
+
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_assign(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+def nearest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _trained(spark, sf_dir)
+    return vec.probes(hundredths(rows), c, PROBES).select("query_id", "cluster_id")
+
+
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _trained(spark, sf_dir)
+    q = first_vector(rows)
+    return vec.vector_top_k(vec.assign(rows, c), q, K, vec.probed(q, c, PROBES))
+
+
+def ivf_topk_all_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _trained(spark, sf_dir)
+    q = first_vector(rows)
+    return vec.vector_top_k(vec.assign(rows, c), q, K, vec.probed(q, c, CLUSTERS))
+
+
+def ivf_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _trained(spark, sf_dir)
+    return vec.vector_batch(vec.assign(rows, c), hundredths(rows), K, c, PROBES)
+
+
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each query's exact neighbours that probing finds, on average."""
+    exact, found = vector_batch(spark, sf_dir), ivf_batch(spark, sf_dir).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "doc_id"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+
+
+def _legs(spark: SparkSession, sf_dir: str, text: str = TEXT) -> tuple[DataFrame, DataFrame]:
+    rows = corpus(spark, sf_dir)
+    return lexical.lexical_top_k(rows.select("doc_id", "text"), text, 2 * K), vec.vector_top_k(rows, first_vector(rows), 2 * K)
+
+
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lists: two of documents by length, from either end, and one by id."""
+    n = documents(spark, sf_dir).select("doc_id", F.size(tokens("text")).cast("double").alias("n"))
+    lists = [ranked(top_k(n.select("doc_id", s.alias("score")), 50)) for s in (F.col("n"), -F.col("n"), F.col("doc_id").cast("double"))]
+    return fusion.rrf_fuse(lists, K)
+
+
+def rrf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranked(lexical.doc_lengths(documents(spark, sf_dir)).select("doc_id", F.col("doc_len").cast("double").alias("score")).filter("score >= 2000"))
+    return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), rounded(rrf_score(F.col("rank"))).alias("rrf"))
+
+
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse_hybrid(*_legs(spark, sf_dir), K)
+
+
+def hybrid_vector_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No term of the query is known, so the other leg ranks alone."""
+    return fusion.fuse_hybrid(*_legs(spark, sf_dir, "nonexistentterm"), K)
+
+
+def hybrid_lexical_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, near = _legs(spark, sf_dir)
+    return fusion.fuse_hybrid(text, near.limit(0), K)
+
+
+def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hundredth document as a query, by its text and its embedding."""
+    rows = corpus(spark, sf_dir)
+    asked = hundredths(rows)
+    p = lexical.postings(rows)
+    text = top_k_by(lexical.lexical_hits(p, lexical.vocabulary(p), lexical.corpus_stats(rows), asked.select("query_id", "text")), "query_id", 2 * K)
+    near = vec.vector_batch(rows, asked.select("query_id", "embedding"), 2 * K)
+    return fusion.rrf_fuse([text, near], K, "query_id")
+
+
+def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hits' texts and attributes, a row an attribute."""
+    rows = corpus(spark, sf_dir)
+    hits = lexical.lexical_top_k(rows.select("doc_id", "text"), TEXT, K)
+    return rows.select("doc_id", "text", "attributes").join(F.broadcast(hits), "doc_id").select("doc_id", "score", "text", F.explode("attributes").alias("key", "value"))
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds and stores an index of the corpus, opens it, and searches all three ways."""
+    rows = corpus(spark, sf_dir)
+    path = Scratch(spark, "index").path("corpus")
+    IndexBuilder(spark, len(first_vector(rows)), CLUSTERS).add_all(rows).build(path)
+    reader, q = IndexReader.open(spark, path), first_vector(rows)
+    found = {"lexical": reader.search_lexical(TEXT, K), "vector": reader.search_vector(q, K, CLUSTERS), "hybrid": reader.search_hybrid(TEXT, q, K, CLUSTERS)}
+    parts = [r.select(F.lit(kind).alias("kind"), "doc_id", "score", F.length("text").cast("long").alias("n_chars"), F.col("attributes")["source"].alias("source")) for kind, r in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"), F.col("doc_id").alias("stored_id"))
+    return numbered(rows, ["f", "r"], "doc_id").select("doc_id", "stored_id")
+
+
+def limited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_ids(spark, sf_dir).filter("doc_id < 100")
+
+
+def embedding_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"))
+
+
+def bm25_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formula by itself, over lengths and counts taken from lineitem: zero counts included."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    score = bm25(F.col("q"), F.col("q") * 3, F.lit(75.0), F.lit(1000.0), F.pmod(F.col("l_orderkey"), F.lit(5)).cast("double"))
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), rounded(score).alias("score"))
+
+
+def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir)
+    return rows.select("doc_id", rounded(similarity(l2_squared(F.col("embedding"), vector(first_vector(rows))))).alias("score"))
+
+
+_ALL = (doc_lengths, corpus_stats, term_frequencies, vocabulary, bm25_term_scores, bm25_shapes, lexical_topk, lexical_duplicate_terms, lexical_no_match, lexical_batch, vector_l2, vector_dot, vector_normalize, similarity_scores, vector_exact_topk, vector_batch, kmeans_centroids, cluster_assign, cluster_sizes, nearest_clusters, ivf_topk, ivf_topk_all_probes, ivf_batch, ivf_recall, rrf_fuse, rrf_scores, hybrid_topk, hybrid_lexical_only, hybrid_vector_only, hybrid_batch, fetch_results, index_search, dense_ids, limited_scan, embedding_dims)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
