@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import langid, minhash, mixing, packing, pii
-from lodeseek.llm.common import Scratch
+from lodeseek.llm.common import Scratch, free_name
 from lodeseek.llm.queries import PII_KEY, table, tokenizer
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those whose language is ambiguous; sets lang of the others."""
-    marked = langid.annotated(docs, langid.fit(docs)).filter((F.col("_language.lang") != langid.UND) & ~F.col("_language.ambiguous"))
-    return marked.select(*[F.col("_language.lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    own = free_name(docs, "_language")
+    marked = langid.annotated(docs, langid.fit(docs), into=own).filter((F.col(f"{own}.lang") != langid.UND) & ~F.col(f"{own}.ambiguous"))
+    return marked.select(*[F.col(f"{own}.lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

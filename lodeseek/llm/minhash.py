@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import Scratch, bytes_of, map_batches, worker_cache
+from lodeseek.llm.common import Scratch, bytes_of, free_name, map_batches, worker_cache
 from lodeseek.llm.components import connected_components
 
 HASHES, ROWS, BANDS = 128, 4, 16
@@ -196,7 +196,8 @@ def deduplicated(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", tex
     """docs without the rows that aren't kept: one document of each group stays, the one with the least id."""
     scratch = Scratch(docs.sparkSession, "dedup")
     marked = scratch.save(near_duplicates(docs, percent, id_col, text_col), "marked")
-    gone = marked.filter("not kept").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    own = free_name(docs, "_gone")
+    gone = marked.filter("not kept").select(F.col("doc_id").alias(own))
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti")
     ids = marked.filter("kept and doc_id is not null and n_shingles > 0")
     return out if ids.groupBy("doc_id").count().filter("count > 1").isEmpty() else out.dropDuplicates([id_col])

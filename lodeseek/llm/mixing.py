@@ -10,8 +10,8 @@ buckets finds the one in which the budget ends, and only that bucket is sorted.
 The final pass compares each row with its source's cut-off, and moves no text.
 
 Defined results: a null text has no words and is taken for 0; a null source is a source of its own, last in order; rows
-that agree in id and size are taken or left together; equal keys go by id, then size, nulls first; columns of any other
-name pass through ``mixed`` unchanged; an empty table gives no rows. A source without words has target 0.
+that agree in id and size are taken or left together; equal keys go by id, then size, nulls first; columns of any
+name pass through ``repeated`` unchanged, as a struct; an empty table gives no rows. A source without words has target 0.
 """
 
 from __future__ import annotations
@@ -60,14 +60,13 @@ def targets(sources: DataFrame, total_share: float = 1.5, most_epochs: float = 2
     return d.select("source", "source_size", F.coalesce(F.least("most", F.col("w") * F.col("level")), F.col("most")).alias("target"))
 
 
-def mixed(docs: DataFrame, weight: Column | None = None, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, per_bucket: int = 20_000, keep: bool = True, **shares) -> DataFrame:
-    """The rows with _size, _source_size, _target and _taken. keep: with all their columns, else id and source alone.
+def mixed(docs: DataFrame, weight: Column | None = None, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, per_bucket: int = 20_000, keep: bool = False, **shares) -> DataFrame:
+    """id, source, size, source_size, target, taken for each row; keep adds row, a struct of all its columns.
 
     With keep, sizes and keys are computed once more in the final pass rather than kept with the texts."""
     scratch = Scratch(docs.sparkSession, "mix")
-    marked = docs.withColumn("_size", n_words() if size is None else size).withColumn("_key", sampling_key(id_col, weight, seed))
-    slim = [F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "_size", "_key"]
-    base = scratch.save(marked.select(*slim), "base")
+    slim = [F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), (n_words() if size is None else size).alias("_size"), sampling_key(id_col, weight, seed).alias("_key")]
+    base = scratch.save(docs.select(*slim), "base")
     buckets = shards_for(base.count(), per_bucket)
     bucket = F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("_key"))) * buckets)).cast("int")
     sums = scratch.save(base.groupBy("_source", bucket.alias("bucket")).agg(F.sum("_size").alias("n")), "sums")
@@ -87,18 +86,18 @@ def mixed(docs: DataFrame, weight: Column | None = None, size: Column | None = N
     run = W.Window.partitionBy("_source").orderBy("_key", "_id", "_size").rowsBetween(W.Window.unboundedPreceding, -1)
     cut = last.withColumn("before", F.coalesce(F.sum("_size").over(run), F.lit(0))).filter(F.col("before") + F.col("_size") / 2 <= F.col("rest")).groupBy(F.col("_source").alias("s")).agg(F.max(row).alias("cut"))
     goal = scratch.save(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnsRenamed({c: f"_g_{c}" for c in ("source", "source_size", "target", "epochs", "end", "rest", "cut")}), "cuts")
-    rows = marked if keep else base.withColumnsRenamed({"_id": id_col, "_source": source_col})
-    out = rows.join(small(goal), F.col(source_col).eqNullSafe(F.col("_g_source")))
-    mine = F.struct("_key", F.col(id_col).alias("id"), F.col("_size").alias("size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *slim) if keep else base
+    out = rows.join(small(goal), F.col("_source").eqNullSafe(F.col("_g_source")))
+    mine = F.struct("_key", F.col("_id").alias("id"), F.col("_size").alias("size"))
     partly = F.col("_g_end").isNull() | (bucket < F.col("_g_end")) | ((bucket == F.col("_g_end")) & F.coalesce(mine <= F.col("_g_cut"), F.lit(False)))
     full = F.col("_g_end").isNull() & (F.col("_g_source_size") == 0)
     taken = F.col("_size") * (F.col("_g_epochs") + F.when(partly & ~full, 1).otherwise(0))
-    kept = [c for c in (docs.columns if keep else [id_col, source_col])]
-    return out.select(*[F.col(f"`{c}`") for c in kept], "_size", F.col("_g_source_size").alias("_source_size"), F.col("_g_target").alias("_target"), taken.cast("long").alias("_taken"))
+    named = {"_id": "id", "_source": "source", "_size": "size", "_g_source_size": "source_size", "_g_target": "target"}
+    return out.select(*(["row"] if keep else []), *[F.col(x).alias(y) for x, y in named.items()], taken.cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with docs' columns."""
-    rows = mixed(docs, **options)
-    times = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(0).cast("int")
-    return rows.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: each row of docs as often as it is taken, with docs' columns. Rows without words never are."""
+    rows = mixed(docs, keep=True, **options)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    return rows.select("row", times.alias("times")).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

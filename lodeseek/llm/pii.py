@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.llm.common import free_name
+
 ROUNDS = 8
 KINDS = {
     "email": r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -260,9 +262,10 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", spans_col
         return pa.array(out, RESULT_ARROW)
 
     udf = F.arrow_udf(run, RESULT)
-    rows = docs.withColumn("_pii", udf(F.col(text_col).cast("string")))
-    columns = [F.coalesce(F.col("_pii.text"), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns, *([F.col("_pii.spans").alias(spans_col)] if spans_col else []))
+    own = free_name(docs, "_pii")
+    rows = docs.withColumn(own, udf(F.col(text_col).cast("string")))
+    columns = [F.coalesce(F.col(f"{own}.text"), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*columns, *([F.col(f"{own}.spans").alias(spans_col)] if spans_col else []))
 
 
 def counted(spans: list[tuple[int, int, str]]) -> str:

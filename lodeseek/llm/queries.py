@@ -40,8 +40,8 @@ def op4_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(table(spark, sf_dir, "documents"), weight=mixing.quality(), keep=False)
-    return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+    rows = mixing.mixed(table(spark, sf_dir, "documents"), weight=mixing.quality())
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 #: The key of the test queries; a real one comes from the caller's secret store.

@@ -181,8 +181,8 @@ def decide(pages: DataFrame, scratch: Scratch, at_least: int = 0, id_col: str =
 def write(pages: DataFrame, folder: str, at_least: int = 0, scratch: Scratch | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes a record for each row; returns the files written (FILES), materialised."""
     scratch = scratch or Scratch(pages.sparkSession, "warc")
-    rows = decide(pages, scratch, at_least, id_col, payload_col)
-    rows = rows.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(payload_col).cast("binary"), "_refers_to")
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("binary").alias("payload"))
+    rows = decide(slim, scratch, at_least, "page_id", "payload").select("page_id", "url", "payload", "_refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = filesystem(folder)
