@@ -64,7 +64,8 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
                         np.add.at(total, to, x)
                         count += np.bincount(to, minlength=len(c))
                 some = np.flatnonzero(count)
-                yield pd.DataFrame({"c": some, "n": count[some], "s": list(total[some])})
+                if len(some):
+                    yield pd.DataFrame({"c": some, "n": count[some], "s": list(total[some])})
 
             found = rows.select("v").mapInPandas(sums, "c long, n long, s array<double>")
             found = found.select("c", "n", F.posexplode("s").alias("at", "x")).groupBy("c", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
