@@ -78,11 +78,12 @@ class Tree:
         keep = k + 8  # for scores that differ only by the order of their sums
         best = np.full((len(queries), keep), -np.inf)
         place = np.full((len(queries), keep), -1, np.int64)
+        scale = np.maximum(np.sqrt(norms * self.most), 1e-300)
         kth, worst = np.full(len(queries), -np.inf), np.full(len(queries), -np.inf)
         done = 0
 
         def reach(q: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(norms[q] + self.most - 2 * kth[q], 0))
+            return np.sqrt(np.maximum(norms[q] + self.most - 2 * kth[q] * scale[q], 0))
 
         def visit(node: int, q: np.ndarray) -> None:
             nonlocal done
@@ -90,7 +91,8 @@ class Tree:
                 a, b = self.nodes[node]
                 for at in range(a, b, 4096):
                     upto = min(b, at + 4096)
-                    new = queries[q] @ self.vectors[at:upto].T
+                    # Relative, and rounded: equal vectors score alike, whatever the order of the sums.
+                    new = np.round(queries[q] @ self.vectors[at:upto].T / scale[q][:, None], 13)
                     done += new.size
                     new[query_ids[q][:, None] == self.ids[None, at:upto]] = -np.inf
                     # Only queries with something better than their worst are sorted.
@@ -102,6 +104,10 @@ class Tree:
                     where[np.isneginf(scores)] = -1
                     top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
                     kept = np.take_along_axis(scores, top, 1)
+                    for t in np.flatnonzero((scores >= kept.min(axis=1, keepdims=True)).sum(axis=1) > keep):  # ties at the end: smaller ids
+                        ids = np.where(where[t] < 0, np.iinfo(np.int64).max, self.ids[where[t]])
+                        top[t] = np.lexsort((ids, -scores[t]))[:keep]
+                        kept[t] = scores[t, top[t]]
                     best[q[r]], place[q[r]] = kept, np.take_along_axis(where, top, 1)
                     two = np.partition(kept, (0, keep - k), axis=1)
                     worst[q[r]], kth[q[r]] = two[:, 0], two[:, keep - k]
