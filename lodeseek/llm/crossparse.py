@@ -113,6 +113,16 @@ def scores(words: list[bytes], automaton: SuffixAutomaton) -> tuple:
     return n, c, automaton.words, cross, own, cross - own
 
 
+#: Ids of reference documents that are broadcast at most: 8 MB of numbers. Beyond, texts are shuffled to be chosen.
+BROADCAST_IDS = 1_000_000
+
+
+def chosen(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is in ids."""
+    ids = ids.select(F.col(id_col)).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
+
+
 def cross_parsed(docs: DataFrame, reference: DataFrame, shard_words: int = 150_000, docs_per_task: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORES' columns for each row of docs. reference: rows with the same id and text columns."""
     words = reference.agg(F.sum(n_words(text_col))).first()[0] or 0

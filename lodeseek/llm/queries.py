@@ -64,8 +64,8 @@ def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference is every document labelled good and not toxic."""
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return crossparse.cross_parsed(docs, docs.join(good, "doc_id", "left_semi"))
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    return crossparse.cross_parsed(docs, crossparse.chosen(docs, good))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
