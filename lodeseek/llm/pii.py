@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import free_name
+from lodeseek.llm.common import free_name, smaller_batches, worker_cache
 
 ROUNDS = 8
 KINDS = {
-    "email": r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_=.-]{12,})",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ipv4": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
@@ -253,6 +253,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", spans_col
     """docs with the text's personal data replaced; spans_col adds the spans (start, end, kind) in the old text."""
 
     def run(texts: pa.Array) -> pa.Array:
+        worker_cache("none")
         names = Pseudonyms(key, back)
         out = []
         for text in texts.to_pylist():
@@ -261,6 +262,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", spans_col
             out.append({"text": new if spans else None, "spans": [{"start": a, "end": b, "kind": k} for a, b, k in spans]})
         return pa.array(out, RESULT_ARROW)
 
+    smaller_batches(docs.sparkSession)
     udf = F.arrow_udf(run, RESULT)
     own = free_name(docs, "_pii")
     rows = docs.withColumn(own, udf(F.col(text_col).cast("string")))
