@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.scratch import Scratch, cleanup, delete, shared_dir  # noqa: F401
@@ -26,17 +26,41 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, over its tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker, over its tasks, until another owner asks for one.
+
+    Operators without one ask too, so that what another left doesn't add to what they need."""
+    import ctypes
+    import gc
+
     import pyspark
 
-    return pyspark.__dict__.setdefault("_lodeseek_cache", {})
+    held = pyspark.__dict__.setdefault("_lodeseek_cache", {})
+    if owner not in held and held:
+        held.clear()
+        gc.unfreeze()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library: freed memory returns in its own time
+            pass
+    return held.setdefault(owner, {})
+
 
+def smaller_batches(spark: SparkSession, rows: int = 2500) -> None:
+    """Rows of text are large: unless the session says otherwise, fewer of them travel to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, arrow: pa.Schema, max_bytes: int = 16 << 20) -> DataFrame:
+
+def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, arrow: pa.Schema, max_bytes: int = 8 << 20, owner: str = "none") -> DataFrame:
     """mapInArrow over slices of at most about max_bytes (one row at least); fn gets and returns columns as lists or arrays."""
 
+    smaller_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import bytes_of, map_batches
+from lodeseek.llm.common import bytes_of, map_batches, smaller_batches, worker_cache
 
 BITS = 16
 NONE = 1 << BITS
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, max_docs: int = 3000, max_languages: int = 200, id_col:
     chosen = train.filter(place < most).select(F.col(lang_col).cast("string").alias("lang"), bytes_of(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none")
         own: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -167,9 +168,11 @@ def identify(model: Model, texts: list[bytes | None], clear: float) -> tuple[lis
 def annotated(docs: DataFrame, model: Model, clear: float = 0.2, text_col: str = "text", into: str = "_language") -> DataFrame:
     """docs with a struct of lang, score and ambiguous; all columns kept, nothing joined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    smaller_batches(docs.sparkSession)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
     def run(texts: pa.Array) -> pa.Array:
+        worker_cache("none")
         out, step = [], max(1, int(len(texts) * min(1.0, (2 << 20) / max(1, texts.nbytes))))
         for at in range(0, len(texts), step):
             names, score, doubt, _ = identify(shared.value, texts.slice(at, step).to_pylist(), clear)

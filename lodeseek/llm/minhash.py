@@ -45,15 +45,14 @@ B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 def word_hash() -> Callable[[bytes], int]:
-    cache = worker_cache()
-    return cache.setdefault("word_hash", WordHash()).__getitem__
+    return worker_cache("word_hash").setdefault("hash", WordHash()).__getitem__
 
 
 def shingle_set(text: bytes | None, width: int = 3) -> np.ndarray:
@@ -91,7 +90,7 @@ def sketch_rows(rows: dict[str, list]) -> dict[str, list]:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
-    return map_batches(src, sketch_rows, SKETCH, SKETCH_ARROW)
+    return map_batches(src, sketch_rows, SKETCH, SKETCH_ARROW, owner="word_hash")
 
 
 def bucket_entries(classes: DataFrame) -> DataFrame:

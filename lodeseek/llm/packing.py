@@ -43,7 +43,7 @@ class WordIds(dict):
     become lower case by context or in two characters.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -86,12 +86,11 @@ class WordIds(dict):
 
 
 def word_ids(path: str) -> WordIds:
-    cache = worker_cache()
-    if ("word_ids", path) not in cache:
-        cache["word_ids", path] = WordIds(path)
-        gc.freeze()
+    cache = worker_cache("word_ids")
+    if path not in cache:
+        cache[path] = WordIds(path)
         gc.set_threshold(200_000, 50, 1000)  # hundreds of thousands of kept words, and no cycles
-    return cache["word_ids", path]
+    return cache[path]
 
 
 def cut(tokenizer_path: str, most: int, end_id: int) -> Callable[[dict], dict]:
@@ -113,7 +112,7 @@ def cut(tokenizer_path: str, most: int, end_id: int) -> Callable[[dict], dict]:
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces, the end token included."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
-    return map_batches(src, cut(tokenizer_path, most, end_id), PIECES, PIECES_ARROW)
+    return map_batches(src, cut(tokenizer_path, most, end_id), PIECES, PIECES_ARROW, owner="word_ids")
 
 
 def patterns(levels: int, depth: int) -> list[tuple[int, ...]]:
