@@ -179,7 +179,9 @@ def annotated(docs: DataFrame, model: Model, clear: float = 0.2, text_col: str =
             out += [{"lang": a, "score": float(b), "ambiguous": bool(c)} for a, b, c in zip(names, score, doubt)]
         return pa.array(out, kind)
 
-    return docs.withColumn(into, F.arrow_udf(run, "struct<lang:string,score:double,ambiguous:boolean>")(bytes_of(text_col)))
+    # Not deterministic, for the planner: else a filter on the result runs it once more.
+    udf = F.arrow_udf(run, "struct<lang:string,score:double,ambiguous:boolean>").asNondeterministic()
+    return docs.withColumn(into, udf(bytes_of(text_col)))
 
 
 def predict(docs: DataFrame, model: Model, clear: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
