@@ -6,51 +6,64 @@ is a phrase of its own). With c phrases of n words, and N words of reference, ``
 cross entropy per word. The document's own LZ78 phrases give its entropy, ``self_bits`` = s log2(s) / n, and
 ``relative_entropy`` is the difference: lower means closer to the reference.
 
-All reference documents are used. They are hashed into shards of about ``shard_words`` words, so their number grows with
-the corpus while an automaton stays of one size; equal sizes make scores comparable. Each document is parsed against one
-shard, by a hash of its id, and never against the one that holds it. Where there are many documents a shard, they are
-split over several tasks, each with its own copy of that shard.
+All reference documents are used, and each document is parsed against all of them but those with its own id. They are
+hashed into shards of about ``shard_words`` words, so that an automaton stays of one size. A task takes about
+``docs_per_task`` documents through every shard in turn. A shard gives, for each word, the first place from which the
+words up to it are a phrase of that shard; the least over the shards is that of the whole reference, and the document is
+cut greedily by it. ``reference_words`` are the words of the whole reference less the document's own. The work is words
+of documents times shards, so it grows with the product of both tables.
 
 Defined results: a null or wordless text has 0 words and null scores; without any reference each word is a phrase, and N
 counts as 2; documents without an id are parsed, and no reference is left out for them; repeated rows are parsed each
-alone; phrases never span two reference documents; columns of other names are ignored; an empty table gives no rows.
+alone; phrases never span two reference documents; texts without an id are reference for all; columns of other names are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import log2
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import bytes_of, shards_for
+from lodeseek.llm.common import Scratch, bytes_of, filesystem, shards_for, smaller_batches, worker_cache
 from lodeseek.llm.mixing import n_words
 
 SCORES = "doc_id long, n_words long, n_phrases long, reference_words long, cross_bits double, self_bits double, relative_entropy double"
+SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_phrases", pa.int64()), ("reference_words", pa.int64()), ("cross_bits", pa.float64()), ("self_bits", pa.float64()), ("relative_entropy", pa.float64())])
+#: In place of an id: texts of several ids, or of none.
+MANY = object()
 
 
 class SuffixAutomaton:
     """Of sequences of words; ``next[state][word]``, from state 0."""
 
-    def __init__(self, texts: list[list[bytes]]):
+    def __init__(self, texts: list[list[bytes]], ids: list[int | None] | None = None):
+        ids = [None] * len(texts) if ids is None else ids
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.words = 0
-        link, length, last = [-1], [0], 0
+        self.own_words: Counter[int | None] = Counter()
+        self.link, self.length = link, length = [-1], [0]
         nxt, number = self.next, self.number
-        for text in texts:
+        marks: list[tuple[int, int | None]] = []
+        for text, i in zip(texts, ids):
             last = 0
             self.words += len(text)
+            self.own_words[i] += len(text)
             for word in text:
                 c = number.setdefault(word, len(number))
                 # The next text starts from the root, so a state may be there already.
                 if (q := nxt[last].get(c)) is not None:
                     if length[q] == length[last] + 1:
                         last = q
-                        continue
-                    last = self._clone(q, last, c, link, length)
+                    else:
+                        last = self._clone(q, last, c, link, length)
+                    marks.append((last, i))
                     continue
                 cur = len(nxt)
                 nxt.append({})
@@ -64,6 +77,15 @@ class SuffixAutomaton:
                     q = nxt[p][c]
                     link[cur] = q if length[p] + 1 == length[q] else self._clone(q, p, c, link, length)
                 last = cur
+                marks.append((last, i))
+        #: The one id whose texts hold a state's phrases, or MANY.
+        self.only = only = [None] * len(nxt)
+        for state, i in marks:
+            i = MANY if i is None else i
+            only[state] = i if only[state] is None or only[state] == i else MANY
+        for state in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
+            up = link[state]
+            only[up] = only[state] if only[up] is None or only[up] == only[state] else MANY
 
     def _clone(self, q: int, p: int, c: int, link: list[int], length: list[int]) -> int:
         new = len(self.next)
@@ -90,6 +112,37 @@ class SuffixAutomaton:
         return n + (state > 0)
 
 
+    def starts(self, numbers: Iterable[int | None], own: int | None = None) -> list[int]:
+        """For each word the first place from which the words up to it are a phrase here, without the texts of the id
+        ``own``; the place behind it where even the word isn't. numbers: the words' own."""
+        nxt, link, length, only = self.next, self.link, self.length, self.only
+        leave = own is not None and own in self.own_words
+        state = size = 0
+        out = []
+        for end, c in enumerate(numbers, 1):
+            while (to := nxt[state].get(c)) is None and state:
+                state = link[state]
+                size = length[state]
+            if to is not None:
+                state = to
+                size += 1
+                if leave:
+                    while state and only[state] == own:
+                        state = link[state]
+                        size = length[state]
+            out.append(end - size)
+        return out
+
+
+def cut(starts: Iterable[int]) -> int:
+    """Phrases of the greedy parsing by starts()."""
+    n, first = 0, -1
+    for at, start in enumerate(starts):
+        if not n or start > first:
+            n, first = n + 1, at
+    return n
+
+
 def own_phrases(words: list[bytes]) -> int:
     """Phrases of the LZ78 parsing of words by themselves."""
     seen: dict[tuple[int, bytes], int] = {}
@@ -104,13 +157,17 @@ def own_phrases(words: list[bytes]) -> int:
     return len(seen) + (state > 0)
 
 
-def scores(words: list[bytes], automaton: SuffixAutomaton) -> tuple:
+def figures(words: list, phrases: int, reference_words: int) -> tuple:
     n = len(words)
     if not n:
-        return 0, 0, automaton.words, None, None, None
-    c, s = automaton.phrases(words), own_phrases(words)
-    cross, own = c * log2(max(automaton.words, 2)) / n, s * log2(max(s, 1)) / n
-    return n, c, automaton.words, cross, own, cross - own
+        return 0, 0, reference_words, None, None, None
+    s = own_phrases(words)
+    cross, own = phrases * log2(max(reference_words, 2)) / n, s * log2(max(s, 1)) / n
+    return n, phrases, reference_words, cross, own, cross - own
+
+
+def scores(words: list[bytes], automaton: SuffixAutomaton) -> tuple:
+    return figures(words, automaton.phrases(words), automaton.words)
 
 
 #: Ids of reference documents that are broadcast at most: 8 MB of numbers. Beyond, texts are shuffled to be chosen.
@@ -125,21 +182,46 @@ def chosen(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame
 
 def cross_parsed(docs: DataFrame, reference: DataFrame, shard_words: int = 150_000, docs_per_task: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORES' columns for each row of docs. reference: rows with the same id and text columns."""
+    scratch = Scratch(docs.sparkSession, "crossparse")
     words = reference.agg(F.sum(n_words(text_col))).first()[0] or 0
-    shards = max(2, shards_for(int(words), shard_words))
-    salts = shards_for(docs.count(), docs_per_task * shards)
-    home = F.pmod(F.xxhash64(F.lit("reference"), F.col(id_col).cast("long")), F.lit(shards))
-    away = F.pmod(home + 1 + F.pmod(F.xxhash64(F.lit("parse"), F.col(id_col).cast("long")), F.lit(shards - 1)), F.lit(shards))
-    ref = reference.filter(F.col(text_col).isNotNull()).select(home.cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), bytes_of(text_col).alias("text"))
-    rows = docs.select(away.cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("salt"), F.col(id_col)), F.lit(salts)).cast("int").alias("salt"), F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
-
-    def run(ref: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        names = [x.split()[0] for x in SCORES.split(", ")]
-        if not len(rows):
-            return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
-        # In order of content, so that reruns build the same.
-        automaton = SuffixAutomaton([t.lower().split() for t in sorted(ref["text"])])
-        out = [(i, *scores((t or b"").lower().split(), automaton)) for i, t in zip(rows["doc_id"], rows["text"])]
-        return pd.DataFrame(out, columns=names).astype({"cross_bits": "float64", "self_bits": "float64", "relative_entropy": "float64"})
-
-    return ref.groupBy("shard", "salt").cogroup(rows.groupBy("shard", "salt")).applyInPandas(run, SCORES)
+    shards = shards_for(int(words), shard_words)
+    shard = F.pmod(F.xxhash64(F.lit("reference"), F.col(id_col).cast("long")), F.lit(shards)).cast("int")
+    ref = reference.filter(F.col(text_col).isNotNull()).select(shard.alias("shard"), F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
+    ref.repartition(shards_for(shards, 4), "shard").write.partitionBy("shard").parquet(folder := scratch.path("shards"))
+
+    def automata() -> Iterator[SuffixAutomaton]:
+        fs, at = filesystem(folder)
+        for k in range(shards):
+            files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(f"{at}/shard={k}", allow_not_found=True)) if f.path.endswith(".parquet")]
+            rows = [(r["doc_id"], r["text"]) for f in files for r in pq.ParquetFile(fs.open_input_file(f)).read(["doc_id", "text"]).to_pylist()]
+            if rows:
+                yield SuffixAutomaton([t.lower().split() for _, t in rows], [i for i, _ in rows])
+
+    def parsed(rows: list[tuple[int | None, np.ndarray]], vocabulary: dict[bytes, int]) -> pa.RecordBatch:
+        starts = [np.arange(1, len(w) + 1, dtype=np.int32) for _, w in rows]
+        total, own_words = 0, Counter()
+        for automaton in automata():
+            number = list(map(automaton.number.get, vocabulary))
+            total += automaton.words
+            own_words.update(automaton.own_words)
+            for (i, w), best in zip(rows, starts):
+                np.minimum(best, np.fromiter(automaton.starts(map(number.__getitem__, w.tolist()), i), np.int32, len(w)), out=best)
+            del automaton
+        out = [(i, *figures(w.tolist(), cut(best.tolist()), total - (own_words[i] if i is not None else 0))) for (i, w), best in zip(rows, starts)]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), SCORES_ARROW)], schema=SCORES_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none")
+        rows, vocabulary = [], {}
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = (text.as_py() or b"").lower().split()
+                rows.append((i, np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))))
+                if len(rows) >= docs_per_task:
+                    yield parsed(rows, vocabulary)
+                    rows, vocabulary = [], {}
+        if rows:
+            yield parsed(rows, vocabulary)
+
+    smaller_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text")).mapInArrow(run, SCORES)
