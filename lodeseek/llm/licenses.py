@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Lines with a word of HINT, and at most ``gap`` lines between two of them, form a candidate block. A block is compressed
-with zstandard alone, and with each template as a raw dictionary; templates are ranked by how many bytes that saves. The
-best ``confirm`` are confirmed by wording: the template's words are aligned with the part of the block that shares most
-of its word triples, and the words missing from it and added to it are listed. The first whose differences are at most
-``most_percent`` of its words names the license; ties in bytes go to fewer differences, then to the template's name.
+Lines with a word of HINT, and at most ``gap`` lines between two of them, form a candidate block. Every template that shares
+word triples with a block is compared by wording: its words are aligned with the part of the block that shares most of its
+triples, and the words missing from it and added to it are listed. Those whose differences are at most ``most_percent`` of
+their words are confirmed. That part, with ``AROUND`` characters on either side, is compressed with zstandard alone, and with
+the template as a raw dictionary; of templates confirmed there, that which saves most bytes names the license, ties going to
+fewer differences, then to the template's name. However long a line is, what is compressed has the template's length.
 
-Texts without a hint never leave the JVM. Each block is compressed whole, by one Arrow pass without a shuffle.
+Texts without a hint never leave the JVM. Each block is compared whole, by one Arrow pass without a shuffle.
 
-Defined results: null and empty texts have no block; a block that no template explains is kept with a null license;
+Defined results: null and empty texts have no block; a block that no template explains is kept with a null license, and
+its sizes are of the whole block;
 repeated rows give rows each; columns of other names are ignored; an empty table gives no rows.
 """
 
@@ -53,6 +55,8 @@ TEMPLATES = {
     "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Proprietary/line": "All rights reserved.",
 }
+#: Characters on either side of a confirmed wording that are compressed with it.
+AROUND = 100
 WORDS = re.compile(r"[\w.+/-]*\w|©")
 ROWS = "doc_id long, block int, start long, length long, license string, template string, size_alone long, size_with long, n_missing int, n_added int, differences string, exact boolean"
 ROWS_ARROW = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("license", pa.string()), ("template", pa.string()), ("size_alone", pa.int64()), ("size_with", pa.int64()), ("n_missing", pa.int32()), ("n_added", pa.int32()), ("differences", pa.string()), ("exact", pa.bool_())])
@@ -83,23 +87,51 @@ class Scanner:
     def __init__(self, templates: dict[str, str], confirm: int, most_percent: int):
         import zstandard
 
-        self.confirm, self.most_percent = confirm, most_percent
+        # confirm once bounded the templates compared by wording; now all that share triples are.
+        self.most_percent = most_percent
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.packers = {n: zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
         self.words = {n: words_of(t) for n, t in templates.items()}
-
-    def differences(self, name: str, block: list[str]) -> tuple[list[str], list[str]]:
-        """The template's words that the block lacks, and the words added among those it has."""
+        #: By width, the templates that hold a sequence of so many words.
+        self.grams: dict[int, dict[tuple[str, ...], list[str]]] = {}
+        for n, own in self.words.items():
+            width = min(3, len(own))
+            for g in {tuple(own[i : i + width]) for i in range(len(own) - width + 1)} if own else ():
+                self.grams.setdefault(width, {}).setdefault(g, []).append(n)
+
+    def hits(self, block: list[str]) -> dict[str, list[int]]:
+        """For each template that shares word triples with the block, their places."""
+        out: dict[str, list[int]] = {}
+        for width, grams in self.grams.items():
+            for i, g in enumerate(zip(*(block[k:] for k in range(width)))):
+                for n in grams.get(g, ()):
+                    out.setdefault(n, []).append(i)
+        return out
+
+    def places(self, name: str, block: list[str], hits: list[int]) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """Each place that the wording confirms, without overlaps, by differences(); parts that share most triples first."""
         own = self.words[name]
         width = min(3, len(own))
-        grams = {tuple(own[i : i + width]) for i in range(len(own) - width + 1)}
-        hits = [i for i in range(len(block) - width + 1) if tuple(block[i : i + width]) in grams]
-        if not hits:
-            return own, []
         span = len(own) + len(own) // 4 + width
-        best = max(range(len(hits)), key=lambda k: (bisect_right(hits, hits[k] + span) - k, -k))
-        last = hits[bisect_right(hits, hits[best] + span) - 1] + width
-        part = block[max(0, hits[best] - 2 * width) : last + 2 * width]
+        # A word missing or added breaks so many triples at most: with fewer left, the wording can't be confirmed.
+        need = max(1, len(own) - width + 1 - width * (self.most_percent * len(own) // 100))
+        ends = [bisect_right(hits, h + span) for h in hits]
+        taken: list[tuple[int, int]] = []
+        for k in sorted((k for k in range(len(hits)) if ends[k] - k >= need), key=lambda k: (k - ends[k], k)):
+            if any(a <= hits[k] < b for a, b in taken):
+                continue
+            first, end, missing, added = self.differences(name, block, hits[k], hits[ends[k] - 1] + width)
+            if 100 * (len(missing) + len(added)) <= self.most_percent * len(own) and not any(first < b and a < end for a, b in taken):
+                taken.append((first, end))
+                yield first, end, missing, added
+
+    def differences(self, name: str, block: list[str], first: int, last: int) -> tuple[int, int, list[str], list[str]]:
+        """Start and end of the wording in the block, about from first to last, the template's words that it lacks, and
+        the words added among those it has."""
+        own = self.words[name]
+        width = min(3, len(own))
+        first = max(0, first - 2 * width)
+        part = block[first : last + 2 * width]
         missing, added = [], []
         steps = SequenceMatcher(None, own, part, autojunk=False).get_opcodes()
         inside = [k for k, s in enumerate(steps) if s[0] == "equal"]
@@ -108,28 +140,31 @@ class Scanner:
                 missing += own[a:b]
                 if inside and inside[0] < k < inside[-1]:
                     added += part[c:d]
-        return missing, added
+        return first + steps[inside[0]][3], first + steps[inside[-1]][4], missing, added
+
+    def sizes(self, name: str, text: str) -> tuple[int, int]:
+        data = text.encode("utf-8", "replace")
+        return len(self.alone.compress(data)), len(self.packers[name].compress(data))
 
     def scan(self, block: str) -> tuple:
-        data = block.encode("utf-8", "replace")
-        alone = len(self.alone.compress(data))
-        sizes = {n: len(p.compress(data)) for n, p in self.packers.items()}
-        words = words_of(block)
-        ranked = sorted(sizes, key=lambda n: (sizes[n], n))
-        bar = sizes[ranked[min(self.confirm, len(ranked)) - 1]]
-        # All that tie with the last to be confirmed are confirmed too.
-        tried = [(sizes[n], sum(map(len, d)), n, d) for n in ranked if sizes[n] <= bar and sizes[n] < alone for d in [self.differences(n, words)]]
-        good = [t for t in tried if 100 * t[1] <= self.most_percent * len(self.words[t[2]])]
+        spans = [m.span() for m in WORDS.finditer(block)]
+        words = [block[a:b].lower() for a, b in spans]
+        good = []
+        for name, hits in self.hits(words).items():
+            for first, end, missing, added in self.places(name, words, hits):
+                alone, size = self.sizes(name, block[max(0, spans[first][0] - AROUND) : spans[end - 1][1] + AROUND])
+                good.append((size - alone, len(missing) + len(added), name, alone, size, missing, added))
         if not good:
-            return None, None, alone, sizes[ranked[0]], None, None, None, False
+            data = block.encode("utf-8", "replace")
+            return None, None, len(self.alone.compress(data)), min(len(p.compress(data)) for p in self.packers.values()), None, None, None, False
         # The wording decides among those it confirms: of two nested templates the longer one explains more.
-        size, _, name, (missing, added) = min(good, key=lambda t: (t[0], t[1], t[2]))
+        _, _, name, alone, size, missing, added = min(good, key=lambda t: t[:3])
         shown = " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in added)])
         return name.split("/")[0], name, alone, size, len(missing), len(added), shown, not (missing or added)
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, confirm: int = 4, most_percent: int = 15, gap: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """ROWS' columns, one row a candidate block."""
+    """ROWS' columns, one row a candidate block. confirm is accepted as before and bounds nothing."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(HINT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
