@@ -7,6 +7,10 @@ their words are confirmed. That part, with ``AROUND`` characters on either side,
 the template as a raw dictionary; of templates confirmed there, that which saves most bytes names the license, ties going to
 fewer differences, then to the template's name. However long a line is, what is compressed has the template's length.
 
+A wrapped license has lines without a hint, so a block is compared with as many words on either side as the longest template
+needs. Each place confirmed that touches the block gives a row, whose start and length hold both; a place that lies over
+several blocks is told with the first, and a block that such places alone explain gives no row.
+
 Texts without a hint never leave the JVM. Each block is compared whole, by one Arrow pass without a shuffle.
 
 Defined results: null and empty texts have no block; a block that no template explains is kept with a null license, and
@@ -17,7 +21,7 @@ repeated rows give rows each; columns of other names are ignored; an empty table
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -146,25 +150,52 @@ class Scanner:
         data = text.encode("utf-8", "replace")
         return len(self.alone.compress(data)), len(self.packers[name].compress(data))
 
-    def scan(self, block: str) -> tuple:
-        spans = [m.span() for m in WORDS.finditer(block)]
-        words = [block[a:b].lower() for a, b in spans]
+    def confirmed(self, text: str, spans: list[tuple[int, int]]) -> list[tuple]:
+        """Start and end in the text, and ROWS' columns from license on, of each wording confirmed among the words at spans;
+        without overlaps, in order of bytes saved."""
+        words = [text[a:b].lower() for a, b in spans]
         good = []
         for name, hits in self.hits(words).items():
             for first, end, missing, added in self.places(name, words, hits):
-                alone, size = self.sizes(name, block[max(0, spans[first][0] - AROUND) : spans[end - 1][1] + AROUND])
-                good.append((size - alone, len(missing) + len(added), name, alone, size, missing, added))
-        if not good:
-            data = block.encode("utf-8", "replace")
-            return None, None, len(self.alone.compress(data)), min(len(p.compress(data)) for p in self.packers.values()), None, None, None, False
+                a, b = spans[first][0], spans[end - 1][1]
+                alone, size = self.sizes(name, text[max(0, a - AROUND) : b + AROUND])
+                good.append((size - alone, len(missing) + len(added), name, a, b, alone, size, missing, added))
+        out: list[tuple] = []
         # The wording decides among those it confirms: of two nested templates the longer one explains more.
-        _, _, name, alone, size, missing, added = min(good, key=lambda t: t[:3])
-        shown = " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in added)])
-        return name.split("/")[0], name, alone, size, len(missing), len(added), shown, not (missing or added)
+        for _, _, name, a, b, alone, size, missing, added in sorted(good, key=lambda t: t[:4]):
+            if not any(a < y and x < b for x, y, *_ in out):
+                shown = " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in added)])
+                out.append((a, b, name.split("/")[0], name, alone, size, len(missing), len(added), shown, not (missing or added)))
+        return out
+
+    def unexplained(self, block: str) -> tuple:
+        data = block.encode("utf-8", "replace")
+        return None, None, len(self.alone.compress(data)), min((len(p.compress(data)) for p in self.packers.values()), default=None), None, None, None, False
+
+    def scan(self, block: str) -> tuple:
+        """ROWS' columns from license on, of the wording that saves most bytes."""
+        found = self.confirmed(block, [m.span() for m in WORDS.finditer(block)])
+        return found[0][2:] if found else self.unexplained(block)
+
+    def rows(self, text: str, gap: int) -> Iterator[tuple]:
+        """ROWS' columns from block on."""
+        spans = [m.span() for m in WORDS.finditer(text)]
+        # What differences() looks into at most, on either side of a word of the block.
+        most = max((len(w) + len(w) // 4 for w in self.words.values()), default=0) + 18
+        told: list[tuple[int, int]] = []
+        for k, (a, b) in enumerate(blocks(text, gap)):
+            first, end = bisect_right(spans, a, key=lambda s: s[1]), bisect_left(spans, b, key=lambda s: s[0])
+            here = [f for f in self.confirmed(text, spans[max(0, first - most) : end + most]) if f[0] < b and a < f[1]]
+            new = sorted(f for f in here if not any(f[0] < y and x < f[1] for x, y in told))
+            told += [f[:2] for f in new]
+            for x, y, *found in new:
+                yield k, min(a, x), max(b, y) - min(a, x), *found
+            if not here:
+                yield k, a, b - a, *self.unexplained(text[a:b])
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, confirm: int = 4, most_percent: int = 15, gap: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """ROWS' columns, one row a candidate block. confirm is accepted as before and bounds nothing."""
+    """ROWS' columns, a row for each license of a candidate block, one at least. confirm is accepted as before and bounds nothing."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(HINT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +204,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, confirm: int
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                for k, (a, b) in enumerate(blocks(text, gap)):
-                    rows.append((doc_id, k, a, b - a, *scanner.scan(text[a:b])))
+                rows += [(doc_id, *row) for row in scanner.rows(text, gap)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), ROWS_ARROW)], schema=ROWS_ARROW)
 
