@@ -114,6 +114,7 @@ ORACLE_SQL: dict[str, str] = {
     "ivf_recall": f"WITH {lloyd()}, {PROBE}, {IVF_BATCH}, {batch(K)} SELECT count(*) AS n, count(ib.doc_id) AS hits FROM vb LEFT JOIN ib USING (query_id, doc_id)",
     "rrf_fuse": f"WITH n AS (SELECT doc_id, len({tokens('text')}) AS n FROM documents) {fuse(' UNION ALL '.join(rank(f'(SELECT doc_id, {s} AS score FROM n ORDER BY score DESC, doc_id LIMIT 50)') for s in ('n', '-n', 'doc_id')), K)}",
     "rrf_scores": f"WITH n AS (SELECT doc_id, len({tokens('text')}) AS score FROM documents) SELECT doc_id, rank, round(1.0::DOUBLE / (60 + rank), 6) AS rrf FROM ({rank('n')} WHERE score >= 2000)",
+    "rrf_scores_all": f"WITH n AS (SELECT doc_id, len({tokens('text')}) AS score FROM documents) SELECT doc_id, rank, round(1.0::DOUBLE / (60 + rank), 6) AS rrf FROM ({rank('n')})",
     "hybrid_topk": f"WITH {BOTH} {HYBRID}",
     "hybrid_lexical_only": f"WITH {lexical(TEXT, 2 * K, DOCS_OF_CORPUS)} {fuse(rank('lx'), K)}",
     "hybrid_vector_only": f"WITH {vector(2 * K, VECTORS_OF_CORPUS)} {fuse(rank('vx'), K)}",

@@ -175,6 +175,13 @@ def rrf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), rounded(rrf_score(F.col("rank"))).alias("rrf"))
 
 
+def rrf_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over every document; no task ranks more than its part."""
+    rows = lexical.doc_lengths(documents(spark, sf_dir)).select("doc_id", F.col("doc_len").cast("double").alias("score"))
+    rows = numbered(rows, [-F.col("score"), "doc_id"], "place").withColumn("rank", F.col("place") + 1)
+    return rows.select("doc_id", "rank", rounded(rrf_score(F.col("rank"))).alias("rrf"))
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse_hybrid(*_legs(spark, sf_dir), K)
 
@@ -242,5 +249,5 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", rounded(similarity(l2_squared(F.col("embedding"), vector(first_vector(rows))))).alias("score"))
 
 
-_ALL = (doc_lengths, corpus_stats, term_frequencies, vocabulary, bm25_term_scores, bm25_shapes, lexical_topk, lexical_duplicate_terms, lexical_no_match, lexical_batch, vector_l2, vector_dot, vector_normalize, similarity_scores, vector_exact_topk, vector_batch, kmeans_centroids, cluster_assign, cluster_sizes, nearest_clusters, ivf_topk, ivf_topk_all_probes, ivf_batch, ivf_recall, rrf_fuse, rrf_scores, hybrid_topk, hybrid_lexical_only, hybrid_vector_only, hybrid_batch, fetch_results, index_search, dense_ids, limited_scan, embedding_dims)
+_ALL = (doc_lengths, corpus_stats, term_frequencies, vocabulary, bm25_term_scores, bm25_shapes, lexical_topk, lexical_duplicate_terms, lexical_no_match, lexical_batch, vector_l2, vector_dot, vector_normalize, similarity_scores, vector_exact_topk, vector_batch, kmeans_centroids, cluster_assign, cluster_sizes, nearest_clusters, ivf_topk, ivf_topk_all_probes, ivf_batch, ivf_recall, rrf_fuse, rrf_scores, rrf_scores_all, hybrid_topk, hybrid_lexical_only, hybrid_vector_only, hybrid_batch, fetch_results, index_search, dense_ids, limited_scan, embedding_dims)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
