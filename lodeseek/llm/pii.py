@@ -3,7 +3,9 @@
 One scan per text finds numbers, dates, addresses and secrets; what validates (Luhn, mod 97, calendar, octets, lengths)
 is replaced by its image under a keyed permutation of all values of the same format, so that equal values get equal
 pseudonyms in every document, whatever separators they are written with, and the key's holder can invert them. Numbers
-that don't validate stay as they are.
+that don't validate stay as they are. Where a card's or an IBAN's longest stretch doesn't, its parts between separators are
+tried, so that an expiry date, a security code or a word beside it hides neither. A pseudonym that would validate together
+with what stands beside it gives way to its own pseudonym; so such a value, beside digits that fit by chance, has another one.
 
 The permutation is a Feistel network on a two-digit mixed radix, walked along its cycle where the format's values aren't
 the whole range. It is conjugated with a step by one: p(x) = E^-1(E(x) + 1). So no value is its own pseudonym, unless
@@ -24,7 +26,7 @@ import datetime
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
 
@@ -127,16 +129,26 @@ class Pseudonyms:
             out.append(str(d) if c.isdigit() else chr(97 + d))
         return "".join(reversed(out))
 
+    @staticmethod
+    def is_card(text: str) -> bool:
+        digits = re.sub(r"\D", "", text)
+        return int(digits[-1]) == luhn(digits[:-1]) and digits.strip("0") != ""
+
+    @staticmethod
+    def is_iban(text: str) -> bool:
+        plain = text.replace(" ", "")
+        return 15 <= len(plain) <= 34 and iban_number(plain[4:] + plain[:4]) % 97 == 1
+
     def card(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
-        if int(digits[-1]) != luhn(digits[:-1]) or not digits.strip("0"):
+        if not self.is_card(text):
             return None
         new = self.mapped("card", digits[:-1])
         return relay(text, new + str(luhn(new)))
 
     def iban(self, text: str) -> str | None:
         plain = text.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or iban_number(plain[4:] + plain[:4]) % 97 != 1:
+        if not self.is_iban(text):
             return None
         new = self.mapped("iban", plain[4:])
         check = 98 - iban_number(new.upper() + plain[:2] + "00") % 97
@@ -215,10 +227,49 @@ class Pseudonyms:
             return "".join(next(it) if c.isalnum() and c.isascii() else c for c in text)
         return relay(text, self.mapped("secret", chars))
 
+    def stretches(self, kind: str, line: str, upto: int = 0) -> Iterator[tuple[int, int]]:
+        """Start and end of each valid card or IBAN from ``upto`` on: the longest stretch, or else its parts between
+        separators, from the left and the longer one first; the search goes on behind a failed stretch's start. No part
+        begins or ends within what has another kind's form."""
+        pattern = _each[kind]
+        forms = None
+        while m := pattern.search(line, upto):
+            at, end = m.span()
+            cuts = [at, *(k + 1 for k in range(at, end) if line[k] in " -"), end + 1]
+            starts = cuts[:-1] if kind == "card" else [at]
+            parts = [(a, b - 1) for a in starts for b in reversed(cuts) if b > a]
+            for a, b in [(at, end), *parts]:
+                if forms is None and (a, b) != (at, end):
+                    forms = [m.span() for k in ("ssn", "date", "phone") for m in _each[k].finditer(line)]
+                if (a, b) != (at, end) and any(x < a < y or x < b < y for x, y in forms):
+                    continue
+                if pattern.fullmatch(line[a:b]) and getattr(self, f"is_{kind}")(line[a:b]):
+                    yield a, b
+                    upto = b
+                    break
+            else:
+                upto = at + 1
+
+    def in_line(self, kind: str, line: str) -> Iterator[tuple[int, int, str]]:
+        """Start, end and replacement of cards or IBANs. A pseudonym with which another stretch of the line would be valid
+        is passed over for the next one, so that the way back finds the same stretches."""
+        before = 0
+        for at, end in self.stretches(kind, line):
+            new = getattr(self, kind)(line[at:end])
+            for _ in range(1000):
+                if next(self.stretches(kind, line[:at] + new + line[end:], before), None) == (at, end):
+                    break
+                new = getattr(self, kind)(new)
+            yield at, end, new
+            before = end
+
     def matches(self, line: str) -> list[tuple[int, int, str, str]]:
         """Start, end, kind and replacement, without overlaps."""
         found = []
         for order, (kind, pattern) in enumerate(_each.items()):
+            if kind in ("card", "iban"):
+                found += [(at, order, end, kind, new) for at, end, new in self.in_line(kind, line)]
+                continue
             for m in pattern.finditer(line):
                 at, end = m.span("secret_value") if kind == "secret" else m.span()
                 if (new := getattr(self, kind)(line[at:end])) is not None:
