@@ -25,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import Scratch, bytes_of, free_name, map_batches, worker_cache
+from lodeseek.llm.common import WORD, Scratch, bytes_of, free_name, map_batches, worker_cache
 from lodeseek.llm.components import connected_components
 
 HASHES, ROWS, BANDS = 128, 4, 16
@@ -192,11 +192,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def deduplicated(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that aren't kept: one document of each group stays, the one with the least id."""
+    """docs without the rows that aren't kept: one document of each group stays, the one with the least id. Of rows that
+    share an id and have words the one with the least text stays (then the least of its row's JSON); rows without an id
+    and wordless rows stay as they are."""
     scratch = Scratch(docs.sparkSession, "dedup")
     marked = scratch.save(near_duplicates(docs, percent, id_col, text_col), "marked")
     own = free_name(docs, "_gone")
     gone = marked.filter("not kept").select(F.col("doc_id").alias(own))
     out = docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti")
     ids = marked.filter("kept and doc_id is not null and n_shingles > 0")
-    return out if ids.groupBy("doc_id").count().filter("count > 1").isEmpty() else out.dropDuplicates([id_col])
+    twice = scratch.save(ids.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(own)), "twice")
+    if twice.isEmpty():
+        return out
+    place = free_name(docs, "_place")
+    rows = out.join(twice, (F.col(id_col).cast("long") == F.col(own)) & F.col(text_col).cast("string").rlike(WORD), "left")
+    window = Window.partitionBy(own).orderBy(F.col(text_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    first = rows.filter(F.col(own).isNotNull()).withColumn(place, F.row_number().over(window)).filter(F.col(place) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.filter(F.col(own).isNull()).select(*columns).unionByName(first.select(*columns))
