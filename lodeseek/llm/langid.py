@@ -8,8 +8,8 @@ losses of a codeword's bits, weighted by how well the bit separates its closest
 next flags the text as ambiguous.
 
 Fitting counts trigrams on executors, over at most about ``max_docs`` labelled documents a language, chosen by a hash of
-their ids, and sends the driver at most languages * 2**16 counts. At most ``max_languages`` are learned, those with most
-documents. The model is 2**16 floats a bit, and is broadcast.
+their ids, and sends the driver at most languages * 2**16 counts. Every label is learned; more than ``max_languages`` of them
+raise. The model is 2**16 floats a bit, and is broadcast.
 
 Prediction reads every whole text once and shuffles nothing.
 
@@ -122,7 +122,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, max_docs: int = 3000, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from text and non-null lang of the documents that aren't held out."""
     train = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull())
-    sizes = train.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = train.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than max_languages={max_languages} labels: none is left out, so raise max_languages")
     share = {r["lang"]: min(1.0, max_docs / r["n"]) for r in sizes}
     if not share:
         return build({})
