@@ -1,69 +1,81 @@
 """Language-model scores by Ziv-Merhav cross-parsing: how well reference text predicts a document.
 
-Symbols are words, A-Z lower-cased. A suffix automaton of reference text finds, from each place in a document on, the
-longest phrase that the reference holds; the document is cut greedily into such phrases (a word that the reference lacks
-is a phrase of its own). With c phrases of n words, and N words of reference, ``cross_bits`` = c log2(N) / n estimates the
-cross entropy per word. The document's own LZ78 phrases give its entropy, ``self_bits`` = s log2(s) / n, and
-``relative_entropy`` is the difference: lower means closer to the reference.
-
-All reference documents are used, and each document is parsed against all of them but those with its own id. They are
-hashed into shards of about ``shard_words`` words, so that an automaton stays of one size. A task takes about
-``docs_per_task`` documents through every shard in turn. A shard gives, for each word, the first place from which the
-words up to it are a phrase of that shard; the least over the shards is that of the whole reference, and the document is
-cut greedily by it. ``reference_words`` are the words of the whole reference less the document's own. The work is words
-of documents times shards, so it grows with the product of both tables.
+Symbols are words, A-Z lower-cased. From each place in a document on, the longest phrase that the reference holds is
+sought; the document is cut greedily into such phrases (a word that the reference lacks is a phrase of its own). With c
+phrases of n words, and N words of reference, ``cross_bits`` = c log2(N) / n estimates the cross entropy per word. The
+document's own LZ78 phrases give its entropy, ``self_bits`` = s log2(s) / n, and ``relative_entropy`` is the difference:
+lower means closer to the reference.
+
+The reference is all rows, or those that a flag chooses, less the row's own text. A ``SuffixAutomaton`` of it answers
+whether a sequence of words occurs in it; one automaton of a corpus fits no task, and a document that meets each shard's
+makes the work a product of corpus and corpus. So the automaton's paths of GRAMS words are spread over tasks by their hash:
+
+1. One Arrow pass turns texts into blocks of about ``block_words`` words: numbers of words, and the words' hashes.
+2. A block asks for its distinct paths of 1 and 2 words, then of 3, then of the longer lengths, each only where all
+   shorter paths within it were found in two rows or more. What it asks for, it also holds: with each path it says whether
+   one or several of its rows have it, and whether none, one or several of its reference rows do. A block sends a path
+   once, however often its rows repeat it, so no path is hot.
+3. A task that gets a range of hashes adds that up over blocks, and answers each block. One reference row alone is
+   another one than the asking row unless the block itself has it and it is that row.
+4. A phrase is the longest stretch of which every window of each length in GRAMS occurs in the reference. Up to four
+   words that is the automaton's longest match itself; a longer stretch could be pieced together from texts that overlap
+   by all but one to four words (one by one from 16 words on), which the README counts against the automaton.
+
+The work is in proportion to the words of the corpus, and a hash has 24 bits more than the corpus needs to count its
+words, so that the chance of a wrong answer is 2**-24 at any size.
 
 Defined results: a null or wordless text has 0 words and null scores; without any reference each word is a phrase, and N
-counts as 2; documents without an id are parsed, and no reference is left out for them; repeated rows are parsed each
-alone; phrases never span two reference documents; texts without an id are reference for all; columns of other names are ignored; an empty table gives no rows.
+counts as 2; rows with equal ids, or without one, are documents of their own, and each other's reference; phrases never
+span two reference rows; a null flag is false; columns of other names are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from math import log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import Scratch, bytes_of, filesystem, shards_for, smaller_batches, worker_cache
-from lodeseek.llm.mixing import n_words
 
 SCORES = "doc_id long, n_words long, n_phrases long, reference_words long, cross_bits double, self_bits double, relative_entropy double"
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_phrases", pa.int64()), ("reference_words", pa.int64()), ("cross_bits", pa.float64()), ("self_bits", pa.float64()), ("relative_entropy", pa.float64())])
-#: In place of an id: texts of several ids, or of none.
-MANY = object()
+#: Lengths of the paths that are looked up, rising from 1.
+GRAMS = (1, 2, 3, 4, 6, 8, 12, 16)
+#: Hashes that a task adds up at a time.
+PER_PART = 2_000_000
+BLOCKS = "shard int, block int, words long, reference_words long, ids array<bigint>, sizes array<int>, held binary, codes binary, vocabulary binary"
+BLOCKS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("words", pa.int64()), ("reference_words", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("held", pa.binary()), ("codes", pa.binary()), ("vocabulary", pa.binary())])
+ASKED = "part int, shard int, block int, gram int, n long, low binary, high binary, rows binary"
+ASKED_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("gram", pa.int32()), ("n", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("rows", pa.binary())])
+ANSWERS = "part int, shard int, block int, gram int, n long, rows binary"
+STATES = "shard int, block int, state binary"
+STATES_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("state", pa.binary())])
 
 
 class SuffixAutomaton:
-    """Of sequences of words; ``next[state][word]``, from state 0."""
+    """Of sequences of words; ``next[state][word]``, from state 0. What the spread paths stand for, on one machine."""
 
-    def __init__(self, texts: list[list[bytes]], ids: list[int | None] | None = None):
-        ids = [None] * len(texts) if ids is None else ids
+    def __init__(self, texts: list[list[bytes]]):
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.words = 0
-        self.own_words: Counter[int | None] = Counter()
-        self.link, self.length = link, length = [-1], [0]
+        self.words = sum(map(len, texts))
+        link, length = [-1], [0]
         nxt, number = self.next, self.number
-        marks: list[tuple[int, int | None]] = []
-        for text, i in zip(texts, ids):
+        for text in texts:
             last = 0
-            self.words += len(text)
-            self.own_words[i] += len(text)
             for word in text:
                 c = number.setdefault(word, len(number))
                 # The next text starts from the root, so a state may be there already.
                 if (q := nxt[last].get(c)) is not None:
-                    if length[q] == length[last] + 1:
-                        last = q
-                    else:
-                        last = self._clone(q, last, c, link, length)
-                    marks.append((last, i))
+                    last = q if length[q] == length[last] + 1 else self._clone(q, last, c, link, length)
                     continue
                 cur = len(nxt)
                 nxt.append({})
@@ -77,15 +89,6 @@ class SuffixAutomaton:
                     q = nxt[p][c]
                     link[cur] = q if length[p] + 1 == length[q] else self._clone(q, p, c, link, length)
                 last = cur
-                marks.append((last, i))
-        #: The one id whose texts hold a state's phrases, or MANY.
-        self.only = only = [None] * len(nxt)
-        for state, i in marks:
-            i = MANY if i is None else i
-            only[state] = i if only[state] is None or only[state] == i else MANY
-        for state in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
-            up = link[state]
-            only[up] = only[state] if only[up] is None or only[up] == only[state] else MANY
 
     def _clone(self, q: int, p: int, c: int, link: list[int], length: list[int]) -> int:
         new = len(self.next)
@@ -112,40 +115,9 @@ class SuffixAutomaton:
         return n + (state > 0)
 
 
-    def starts(self, numbers: Iterable[int | None], own: int | None = None) -> list[int]:
-        """For each word the first place from which the words up to it are a phrase here, without the texts of the id
-        ``own``; the place behind it where even the word isn't. numbers: the words' own."""
-        nxt, link, length, only = self.next, self.link, self.length, self.only
-        leave = own is not None and own in self.own_words
-        state = size = 0
-        out = []
-        for end, c in enumerate(numbers, 1):
-            while (to := nxt[state].get(c)) is None and state:
-                state = link[state]
-                size = length[state]
-            if to is not None:
-                state = to
-                size += 1
-                if leave:
-                    while state and only[state] == own:
-                        state = link[state]
-                        size = length[state]
-            out.append(end - size)
-        return out
-
-
-def cut(starts: Iterable[int]) -> int:
-    """Phrases of the greedy parsing by starts()."""
-    n, first = 0, -1
-    for at, start in enumerate(starts):
-        if not n or start > first:
-            n, first = n + 1, at
-    return n
-
-
-def own_phrases(words: list[bytes]) -> int:
+def own_phrases(words: Iterable) -> int:
     """Phrases of the LZ78 parsing of words by themselves."""
-    seen: dict[tuple[int, bytes], int] = {}
+    seen: dict[tuple, int] = {}
     state = 0
     for w in words:
         key = (state, w)
@@ -157,7 +129,7 @@ def own_phrases(words: list[bytes]) -> int:
     return len(seen) + (state > 0)
 
 
-def figures(words: list, phrases: int, reference_words: int) -> tuple:
+def figures(words: Sequence, phrases: int, reference_words: int) -> tuple:
     n = len(words)
     if not n:
         return 0, 0, reference_words, None, None, None
@@ -170,58 +142,267 @@ def scores(words: list[bytes], automaton: SuffixAutomaton) -> tuple:
     return figures(words, automaton.phrases(words), automaton.words)
 
 
-#: Ids of reference documents that are broadcast at most: 8 MB of numbers. Beyond, texts are shuffled to be chosen.
-BROADCAST_IDS = 1_000_000
-
-
-def chosen(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is in ids."""
-    ids = ids.select(F.col(id_col)).distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
-
-
-def cross_parsed(docs: DataFrame, reference: DataFrame, shard_words: int = 150_000, docs_per_task: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCORES' columns for each row of docs. reference: rows with the same id and text columns."""
-    scratch = Scratch(docs.sparkSession, "crossparse")
-    words = reference.agg(F.sum(n_words(text_col))).first()[0] or 0
-    shards = shards_for(int(words), shard_words)
-    shard = F.pmod(F.xxhash64(F.lit("reference"), F.col(id_col).cast("long")), F.lit(shards)).cast("int")
-    ref = reference.filter(F.col(text_col).isNotNull()).select(shard.alias("shard"), F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
-    ref.repartition(shards_for(shards, 4), "shard").write.partitionBy("shard").parquet(folder := scratch.path("shards"))
-
-    def automata() -> Iterator[SuffixAutomaton]:
-        fs, at = filesystem(folder)
-        for k in range(shards):
-            files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(f"{at}/shard={k}", allow_not_found=True)) if f.path.endswith(".parquet")]
-            rows = [(r["doc_id"], r["text"]) for f in files for r in pq.ParquetFile(fs.open_input_file(f)).read(["doc_id", "text"]).to_pylist()]
-            if rows:
-                yield SuffixAutomaton([t.lower().split() for _, t in rows], [i for i, _ in rows])
-
-    def parsed(rows: list[tuple[int | None, np.ndarray]], vocabulary: dict[bytes, int]) -> pa.RecordBatch:
-        starts = [np.arange(1, len(w) + 1, dtype=np.int32) for _, w in rows]
-        total, own_words = 0, Counter()
-        for automaton in automata():
-            number = list(map(automaton.number.get, vocabulary))
-            total += automaton.words
-            own_words.update(automaton.own_words)
-            for (i, w), best in zip(rows, starts):
-                np.minimum(best, np.fromiter(automaton.starts(map(number.__getitem__, w.tolist()), i), np.int32, len(w)), out=best)
-            del automaton
-        out = [(i, *figures(w.tolist(), cut(best.tolist()), total - (own_words[i] if i is not None else 0))) for (i, w), best in zip(rows, starts)]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), SCORES_ARROW)], schema=SCORES_ARROW)
+def packed(numbers: np.ndarray) -> bytes:
+    """Bytes of equal weight together, compressed."""
+    import zstandard
 
+    wide = np.ascontiguousarray(numbers)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.view(np.uint8).reshape(len(wide), wide.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(plain.reshape(size, len(plain) // size).T).view(kind).ravel()
+
+
+class Codes(dict):
+    """Numbers of words, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def as_blocks(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("none")
-        rows, vocabulary = [], {}
+        shard, block = TaskContext.get().partitionId(), 0
+        ids, held, codes, number = [], [], [], Codes()
+        words = 0
+
+        def row() -> pa.RecordBatch:
+            sizes = np.array([len(c) for c in codes], np.int32)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+            own = np.array(held, np.uint8)
+            values = (shard, block, int(sizes.sum(dtype=np.int64)), int(sizes[own > 0].sum(dtype=np.int64)), ids, sizes.tolist(), own.tobytes(), packed(np.concatenate(codes)), hashes.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, BLOCKS_ARROW)], schema=BLOCKS_ARROW)
+
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (text.as_py() or b"").lower().split()
-                rows.append((i, np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))))
-                if len(rows) >= docs_per_task:
-                    yield parsed(rows, vocabulary)
-                    rows, vocabulary = [], {}
-        if rows:
-            yield parsed(rows, vocabulary)
-
-    smaller_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text")).mapInArrow(run, SCORES)
+            for i, text, flag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                own = (text.as_py() or b"").lower().split()
+                ids.append(i)
+                held.append(bool(flag))
+                codes.append(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)))
+                words += len(own)
+                if words >= block_words:
+                    yield row()
+                    ids, held, codes, number = [], [], [], Codes()
+                    words, block = 0, block + 1
+        if ids:
+            yield row()
+
+    return run
+
+
+class Block:
+    """A block's words, and the hash of every path that starts at each."""
+
+    def __init__(self, row: dict):
+        self.codes = unpacked(row["codes"], "<u4")
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.held = np.frombuffer(row["held"], np.uint8) > 0
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        ends = np.cumsum(self.sizes)
+        self.room = (np.repeat(ends, self.sizes) - np.arange(len(self.codes))).astype(np.int32)
+        self.hash = {1: np.frombuffer(row["vocabulary"], np.uint64)[self.codes]}
+
+    def hashes(self, n: int) -> np.ndarray:
+        """Of the n words from each place on; past a row's end they mean nothing."""
+        if n not in self.hash:
+            a, b = self.hashes(n - n // 2), self.hashes(n // 2)
+            h = a ^ (a >> np.uint64(29))
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            at = n - n // 2
+            h[: max(0, len(h) - at)] += b[at:]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            self.hash[n] = h
+        return self.hash[n]
+
+    def paths(self, n: int, state: np.ndarray, grams: tuple[int, ...], known: int, bits: int):
+        """The distinct hashes of the paths of n words to ask for, where shorter ones (grams[:known]) were all shared; the
+        places that they start at, and each place's path; how many reference rows hold a path (0, 1 or 2, for several), 3
+        more where several rows of any kind do; and one reference row of each."""
+        good = self.room >= n
+        if known:
+            good &= stretch(state % 16 >= known) >= n - grams[known - 1] + 1
+        at = np.flatnonzero(good)
+        if not len(at):
+            return np.zeros(0, np.uint64), at, at, np.zeros(0, np.uint8), np.zeros(0, np.int32)
+        h = self.hashes(n)[at]
+        if bits < 64:
+            h >>= np.uint64(64 - bits)
+        order = np.argsort(h)
+        h, at = h[order], at[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        starts = np.flatnonzero(new)
+        doc = self.doc[at]
+        held = self.held[doc]
+        least = np.minimum.reduceat(np.where(held, doc, np.int32(2**31 - 1)), starts)
+        most = np.maximum.reduceat(np.where(held, doc, np.int32(-1)), starts)
+        several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+        return h[starts], at, np.cumsum(new) - 1, (np.where(most < 0, 0, np.where(least == most, 1, 2)) + 3 * several).astype(np.uint8), most
+
+    def found(self, n: int, answer: np.ndarray, state: np.ndarray, grams: tuple[int, ...], known: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether another row of the reference, or any other row, holds the path of n words from each place on."""
+        _, at, path, rows, one = self.paths(n, state, grams, known, bits)
+        out, shared = np.zeros(len(self.codes), bool), np.zeros(len(self.codes), bool)
+        total, mine = answer[path], rows[path] % 3
+        shared[at] = total >= 3
+        total = total % 3
+        out[at] = (total == 2) | ((total == 1) & ((mine == 0) | (one[path] != self.doc[at])))
+        return out, shared
+
+
+def stretch(good: np.ndarray) -> np.ndarray:
+    """How many good places follow from each place on, itself included."""
+    n = len(good)
+    at = np.arange(n, dtype=np.int32)
+    bad = np.where(good, np.int32(n), at)
+    return np.minimum.accumulate(bad[::-1])[::-1] - at
+
+
+def phrase_ends(passed: np.ndarray, room: np.ndarray, grams: tuple[int, ...]) -> np.ndarray:
+    """Where the phrase from each place on ends: every window of it, of each length in grams, was found."""
+    at = np.arange(len(passed), dtype=np.int32)
+    end = at + 1
+    alive = passed > 0
+    last = np.where(alive, at + room, end)
+    for k, n in enumerate(grams):
+        # Windows of n words are found up to there, so that a longer phrase ends before the next one's end.
+        reach = at + stretch(passed > k) + (n - 1)
+        alive = alive & (passed > k)
+        last = np.where(alive, np.minimum(last, reach), np.where(passed == k, np.minimum(last, at + n - 1), last))
+        if not alive.any():
+            break
+    return np.maximum(last, end)
+
+
+def asked_of(grams: tuple[int, ...], first: int, upto: int, bits: int, parts: int, states: str | None):
+    """A block's questions for the paths of grams[first:upto]. A state is 16 times the number of grams that the reference
+    has from a place on, and the number that any other row has."""
+    bounds = np.array([-(-(k << bits) // parts) for k in range(1, parts)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none")
+        for row in rows_of(batches):
+            block = Block(row)
+            state = state_of(states, row) if states else np.zeros(len(block.codes), np.uint8)
+            for n in grams[first:upto]:
+                hashes, _, _, rows, _ = block.paths(n, state, grams, first, bits)
+                cuts = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+                out = []
+                for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a < b:
+                        high = (hashes[a:b] >> np.uint64(32)).astype(np.uint32)
+                        out.append((part, row["shard"], row["block"], n, b - a, hashes[a:b].astype(np.uint32).tobytes(), packed(np.diff(high, prepend=np.uint32(0))), packed(rows[a:b])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), ASKED_ARROW)], schema=ASKED_ARROW)
+
+    return run
+
+
+def answers_to(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each path that a block asked for, the same code over all blocks."""
+    hashes = np.concatenate([(np.cumsum(unpacked(high, "<u4"), dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | np.frombuffer(low, np.uint32) for low, high in zip(rows["low"], rows["high"])])
+    held = np.concatenate([unpacked(x, "u1") for x in rows["rows"]])
+    _, path = np.unique(hashes, return_inverse=True)
+    del hashes
+    total = np.minimum(np.bincount(path, weights=held % 3), 2).astype(np.uint8)
+    total += 3 * (np.bincount(path, weights=1 + held // 3) >= 2).astype(np.uint8)
+    total = total[path]
+    cuts = np.cumsum(rows["n"].to_numpy())[:-1]
+    out = rows[["part", "shard", "block", "gram", "n"]].copy()
+    out["rows"] = [packed(x) for x in np.split(total, cuts)]
+    return out
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def shard_rows(folder: str, row: dict) -> list[dict]:
+    """The row's block's rows of a table that is partitioned by shard."""
+    fs, at = filesystem(folder)
+    files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(f"{at}/shard={row['shard']}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    tables = (pq.ParquetFile(fs.open_input_file(f)).read() for f in files)
+    return [r for t in tables for r in t.filter(pa.compute.equal(t["block"], row["block"])).to_pylist()]
+
+
+def state_of(folder: str, row: dict) -> np.ndarray:
+    return unpacked(shard_rows(folder, row)[0]["state"], "u1")
+
+
+def after(block: Block, row: dict, grams: tuple[int, ...], first: int, upto: int, bits: int, states: str | None, answers: str) -> np.ndarray:
+    """The state after the answers on grams[first:upto]."""
+    state = state_of(states, row) if states else np.zeros(len(block.codes), np.uint8)
+    by_gram: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r in shard_rows(answers, row):
+        by_gram.setdefault(r["gram"], []).append((r["part"], unpacked(r["rows"], "u1")))
+    out = state.copy()
+    for k in range(first, upto):
+        parts = [x for _, x in sorted(by_gram.get(grams[k], []), key=lambda t: t[0])]
+        found, shared = block.found(grams[k], np.concatenate(parts) if parts else np.zeros(0, np.uint8), state, grams, first, bits)
+        out += 16 * (found & (out // 16 == k)).astype(np.uint8) + (shared & (out % 16 == k)).astype(np.uint8)
+    return out
+
+
+def cross_parsed(docs: DataFrame, reference: Column | None = None, grams: tuple[int, ...] = GRAMS, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """SCORES' columns for each row of docs. reference: a flag of the rows whose texts are the reference; all without it."""
+    if list(grams) != sorted(set(grams)) or grams[:1] != (1,) or len(grams) > 15:
+        raise ValueError("grams are at most 15 lengths, rising from 1")
+    spark = docs.sparkSession
+    smaller_batches(spark)
+    scratch = Scratch(spark, "crossparse")
+    flag = F.lit(True) if reference is None else F.coalesce(reference.cast("boolean"), F.lit(False))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"), flag.alias("held"))
+    blocks = scratch.save(src.mapInArrow(as_blocks(block_words), BLOCKS), "blocks")
+    words, reference_words = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("reference_words"), F.lit(0))).first()
+    bits, parts = min(64, int(words).bit_length() + 24), shards_for(int(words), PER_PART)
+    states = answers = None
+    rounds = [(a, b) for a, b in ((0, min(2, len(grams))), (2, 3), (3, len(grams))) if a < b <= len(grams)]
+    for k, (a, b) in enumerate(rounds):
+        if k:
+            before = rounds[k - 1]
+
+            def step(batches: Iterator[pa.RecordBatch], before=before, states=states, answers=answers) -> Iterator[pa.RecordBatch]:
+                for row in rows_of(batches):
+                    state = after(Block(row), row, grams, *before, bits, states, answers)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row["shard"], row["block"], packed(state)), STATES_ARROW)], schema=STATES_ARROW)
+
+            blocks.mapInArrow(step, STATES).write.partitionBy("shard").parquet(folder := scratch.path(f"states{k}"))
+            states = folder
+            scratch.drop(f"answers{k - 1}")
+        asked = blocks.mapInArrow(asked_of(grams, a, b, bits, parts, states), ASKED)
+        replies = asked.groupBy("part", "gram").applyInPandas(answers_to, ANSWERS)
+        replies.repartition("shard").write.partitionBy("shard").parquet(folder := scratch.path(f"answers{k}"))
+        answers = folder
+    last = rounds[-1]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            block = Block(row)
+            passed = after(block, row, grams, *last, bits, states, answers) // 16
+            block.hash.clear()
+            ends = phrase_ends(passed, block.room, grams)
+            out, at = [], 0
+            for i, size, held in zip(row["ids"], block.sizes.tolist(), block.held.tolist()):
+                own, to, n, place = block.codes[at : at + size].tolist(), (ends[at : at + size] - at).tolist(), 0, 0
+                while place < size:
+                    place = to[place]
+                    n += 1
+                out.append((i, *figures(own, n, reference_words - size * held)))
+                at += size
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), SCORES_ARROW)], schema=SCORES_ARROW)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), SCORES_ARROW)], schema=SCORES_ARROW)
+
+    return blocks.mapInArrow(score, SCORES)
