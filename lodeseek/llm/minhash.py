@@ -7,14 +7,17 @@
 3. Bands of ``ROWS`` minima give bucket keys. Round one links each class to the least of every bucket it is in: as many
    candidates as bucket entries, never all pairs of a bucket.
 4. Candidates whose signatures agree enough are confirmed on the full sets of both texts, and components are formed.
-5. Round two takes the buckets that still hold more than one component, compares signatures across components (in
-   blocks, where a bucket is large), and confirms those that agree. After it every pair of classes that share a bucket
-   is in one component or was compared, so no link that a bucket shows is lost. A pair at 85 % misses all bands with a
-   chance of (1 - 0.85**4)**16 < 1e-5, and the signature's bar with about 1e-4.
+5. Round two takes the buckets that still hold more than one component, compares a byte of each minimum across
+   components whose sizes allow a link (in blocks, where a bucket is large; tasks follow the number of comparisons), and
+   confirms those that agree. After it every pair of classes that share a bucket is in one component or was compared, so
+   no link that a bucket shows is lost. A pair at 85 % misses all bands with a chance of (1 - 0.85**4)**16 < 1e-5, and the
+   signature's bar with about 1e-4; ``agree`` 0 confirms every candidate.
 
 Defined results: a text with fewer words than a shingle has its whole sequence as one; a null or wordless text has no
 shingle, links with nothing and is kept; a row without an id links with nothing: its component is null and it is kept;
-rows that share an id are one node; columns of other names are ignored; an empty table gives no rows.
+rows that share an id are one node; columns of other names are ignored; an empty table gives no rows. ``deduplicated``
+removes the other members of a node's group, and copies of a row that agree in id and text; different texts that share an
+id stay with their node.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import WORD, Scratch, bytes_of, free_name, map_batches, worker_cache
+from lodeseek.llm.common import WORD, Scratch, bytes_of, free_name, map_batches, shards_for, worker_cache
 from lodeseek.llm.components import connected_components
 
 HASHES, ROWS, BANDS = 128, 4, 16
 #: Minima in common from which a candidate is confirmed: 0.85 less 3.6 standard deviations.
 AGREE = 94
-#: Members of a bucket that are compared in one task.
+#: Members of a bucket that are compared at a time.
 BLOCK = 2048
-SKETCH = "doc_id long, n_shingles long, fp binary, sig binary"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary())])
+#: Comparisons of two members, and members, that a task of round two gets about.
+COMPARISONS, MEMBERS = 4_000_000, 20_000
+SKETCH = "doc_id long, n_shingles long, fp binary, sig binary, bytes binary"
+SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("bytes", pa.binary())])
 _rng = np.random.default_rng(20240229)
 A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -79,13 +84,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch_rows(rows: dict[str, list]) -> dict[str, list]:
-    n, fp, sig = [], [], []
+    n, fp, sig, low = [], [], [], []
     for text in rows["text"]:
         s = shingle_set(text)
+        minima = signature(s) if len(s) else None
         n.append(len(s))
         fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-        sig.append(signature(s).tobytes() if len(s) else None)
-    return {"doc_id": rows["doc_id"], "n_shingles": n, "fp": fp, "sig": sig}
+        sig.append(minima.tobytes() if len(s) else None)
+        low.append(minima.astype(np.uint8).tobytes() if len(s) else None)
+    return {"doc_id": rows["doc_id"], "n_shingles": n, "fp": fp, "sig": sig, "bytes": low}
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,15 +106,15 @@ def bucket_entries(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(band).alias("key"), "rep")
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of class ids, those whose signatures agree in AGREE places or more."""
+def agreeing(pairs: DataFrame, classes: DataFrame, agree: int = AGREE) -> DataFrame:
+    """Of pairs (a, b) of class ids, those whose signatures agree in ``agree`` places or more."""
     sig = classes.select("rep", "sig")
     both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -138,48 +145,75 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components whose signatures agree, in one block of a bucket, or between two."""
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, HASHES)
-    rep, comp, block = (rows[c].to_numpy() for c in ("rep", "comp", "block"))
-    one = rows["i"].iloc[0] == rows["j"].iloc[0]
-    left = np.arange(len(rep)) if one else np.flatnonzero(block == rows["i"].iloc[0])
-    right = left if one else np.flatnonzero(block == rows["j"].iloc[0])
-    a, b = [], []
-    for x in left:
-        there = right[comp[right] != comp[x]]
-        if one:
-            there = there[rep[there] > rep[x]]
-        same = there[(sig[there] == sig[x]).sum(axis=1) >= AGREE]
-        a += np.minimum(rep[same], rep[x]).tolist()
-        b += np.maximum(rep[same], rep[x]).tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-
-def open_pairs(entries: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
+def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bytes each row of x agrees with each of y."""
+    if len(x) * len(y) <= 1024:
+        return (x[:, None] == y[None]).sum(axis=2)
+    out, columns = np.zeros((len(x), len(y)), np.uint8), np.ascontiguousarray(y.T)
+    for k in range(x.shape[1]):
+        out += x[:, k : k + 1] == columns[k]
+    return out
+
+
+def compared(percent: int, agree: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs across components whose sizes allow a link and whose bytes agree, for a task's buckets and blocks of them."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "i", "j"], kind="stable", ignore_index=True)
+        low = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(-1, HASHES)
+        rep, comp, block, size, key, i, j = (rows[c].to_numpy() for c in ("rep", "comp", "block", "n_shingles", "key", "i", "j"))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        found = [np.zeros((0, 2), np.int64)]
+        for start, end in zip([0, *new], [*new, len(rows)]):
+            one = i[start] == j[start]
+            at = np.arange(start, end)
+            left = at if one else at[block[start:end] == i[start]]
+            right = at if one else at[block[start:end] == j[start]]
+            for k in range(0, len(left), 256):
+                x = left[k : k + 256]
+                good = comp[x][:, None] != comp[right]
+                good &= 100 * np.minimum(size[x][:, None], size[right]) >= percent * np.maximum(size[x][:, None], size[right])
+                if one:
+                    good &= rep[x][:, None] < rep[right]
+                if good.any():
+                    good &= agreements(low[x], low[right]) >= agree
+                    p, q = np.nonzero(good)
+                    found.append(np.sort(np.stack([rep[x[p]], rep[right[q]]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def open_pairs(entries: DataFrame, classes: DataFrame, component: DataFrame, scratch: Scratch, percent: int = 85, agree: int = AGREE) -> DataFrame:
     """Pairs (a, b) of round two."""
     labelled = entries.join(component.select(F.col("u").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    bucket = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(bucket, "key").join(classes.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    bucket = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    bucket = scratch.save(bucket.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    pairs, rows = bucket.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2), F.sum(F.col("n") * F.col("blocks"))).first()
+    tasks = max(shards_for(int(pairs or 0), COMPARISONS), shards_for(int(rows or 0), MEMBERS))
+    members = labelled.join(bucket, "key").join(classes.select("rep", "bytes", "n_shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-    return members.select("key", "i", "j", "rep", "comp", "block", "sig").groupBy("key", "i", "j").applyInPandas(compare_blocks, "a long, b long").distinct()
+    # By number, so that AQE doesn't merge tasks that have few bytes and much to compare.
+    bins = members.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * tasks))).repartition(tasks, "bin")
+    return bins.select("bin", "key", "i", "j", "rep", "comp", "block", "n_shingles", "bytes").groupBy("bin").applyInPandas(compared(percent, agree), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
     sketch = scratch.save(sketches(docs, id_col, text_col), "sketch")
     able = sketch.filter("fp is not null and doc_id is not null")
     own = scratch.save(able.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "own")
-    classes = scratch.save(able.join(own.select("rep", F.col("fp").alias("own_fp")), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("own_fp"))).select("rep", "sig").dropDuplicates(["rep", "sig"]), "classes")
+    classes = scratch.save(able.join(own.select("rep", F.col("fp").alias("own_fp")), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("own_fp"))).select("rep", "sig", "bytes", "n_shingles").dropDuplicates(["rep", "sig"]), "classes")
     entries = bucket_entries(classes)
     least = entries.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
     stars = entries.join(least, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = scratch.save(agreeing(stars, classes), "stars")
+    stars = scratch.save(agreeing(stars, classes, agree), "stars")
     links = scratch.save(confirmed(stars, texts, percent), "links")
     component = scratch.save(connected_components(links, scratch), "first")
-    more = scratch.save(open_pairs(entries, classes, component).join(stars, ["a", "b"], "left_anti"), "open")
+    more = scratch.save(open_pairs(entries, classes, component, scratch, percent, agree).join(stars, ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         more = scratch.save(confirmed(more, texts, percent), "more")
         component = scratch.save(connected_components(component.select("u", F.col("component").alias("v")).union(more), scratch), "second")
@@ -193,20 +227,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 def deduplicated(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that aren't kept: one document of each group stays, the one with the least id. Of rows that
-    share an id and have words the one with the least text stays (then the least of its row's JSON); rows without an id
-    and wordless rows stay as they are."""
+    agree in id and text one stays (of those that differ elsewhere, the one whose JSON is least); rows without an id and
+    wordless rows stay as they are."""
     scratch = Scratch(docs.sparkSession, "dedup")
     marked = scratch.save(near_duplicates(docs, percent, id_col, text_col), "marked")
     own = free_name(docs, "_gone")
-    gone = marked.filter("not kept").select(F.col("doc_id").alias(own))
+    gone = marked.filter("not kept").select(F.col("doc_id").alias(own)).distinct()
     out = docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti")
     ids = marked.filter("kept and doc_id is not null and n_shingles > 0")
     twice = scratch.save(ids.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(own)), "twice")
     if twice.isEmpty():
         return out
-    place = free_name(docs, "_place")
     rows = out.join(twice, (F.col(id_col).cast("long") == F.col(own)) & F.col(text_col).cast("string").rlike(WORD), "left")
-    window = Window.partitionBy(own).orderBy(F.col(text_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    first = rows.filter(F.col(own).isNotNull()).withColumn(place, F.row_number().over(window)).filter(F.col(place) == 1)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.filter(F.col(own).isNull()).select(*columns).unionByName(first.select(*columns))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # An aggregate, which is partial before its shuffle: a row may be there any number of times.
+    first = rows.filter(F.col(own).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return rows.filter(F.col(own).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(first.select("_row.*"))
