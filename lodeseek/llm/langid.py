@@ -8,10 +8,12 @@ losses of a codeword's bits, weighted by how well the bit separates its closest
 next flags the text as ambiguous.
 
 Fitting counts trigrams on executors, over at most about ``max_docs`` labelled documents a language, chosen by a hash of
-their ids, and sends the driver at most languages * 2**16 counts. Every label is learned; more than ``max_languages`` of them
-raise. The model is 2**16 floats a bit, and is broadcast.
+their ids, and sends the driver at most languages * 2**16 counts, as columns of numbers. Every label is learned, however
+many there are; a caller whose driver holds only so many may give ``max_languages``, beyond which fitting raises. The model
+is 2**16 floats a bit, and is broadcast.
 
-Prediction reads every whole text once and shuffles nothing.
+Prediction reads every whole text once and shuffles nothing. A text is weighed CHUNK trigrams at a time, so that what a
+task holds besides the text doesn't grow with it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled document all are
 ``und``; one language alone is predicted with score 1; null labels are not learned; a document without an id is neither
@@ -41,6 +43,8 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguo
 FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 #: Trigrams by which a long text's margin is multiplied; a text of so many has half of it.
 SCALE = 40.0
+#: Trigrams whose weights are gathered at a time.
+CHUNK = 1 << 14
 
 _ascii_letter = re.compile(rb"[A-Za-z]").search
 
@@ -74,7 +78,9 @@ class Model:
         out = np.zeros((len(texts), self.code.shape[1]))
         for i in range(len(texts)):
             own = h[ends[i] : ends[i + 1]]
-            out[i] = self.weights.take(own, axis=0).sum(axis=0) / (SCALE + np.count_nonzero(own != NONE)) * SCALE
+            for at in range(0, len(own), CHUNK):
+                out[i] += self.weights.take(own[at : at + CHUNK], axis=0).sum(axis=0)
+            out[i] *= SCALE / (SCALE + np.count_nonzero(own != NONE))
         return out
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,18 +125,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, max_docs: int = 3000, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, max_docs: int = 3000, max_languages: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from text and non-null lang of the documents that aren't held out."""
     train = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull())
-    sizes = train.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
+    sizes = train.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    sizes = (sizes if max_languages is None else sizes.limit(max_languages + 1)).collect()
+    if max_languages is not None and len(sizes) > max_languages:
         raise ValueError(f"more than max_languages={max_languages} labels: none is left out, so raise max_languages")
     share = {r["lang"]: min(1.0, max_docs / r["n"]) for r in sizes}
     if not share:
         return build({})
-    most = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col(lang_col).cast("string"))
+    shares = docs.sparkSession.createDataFrame(list(share.items()), "_lang string, _share double")
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    chosen = train.filter(place < most).select(F.col(lang_col).cast("string").alias("lang"), bytes_of(text_col).alias("text"))
+    train = train.select(F.col(lang_col).cast("string").alias("lang"), bytes_of(text_col).alias("text"), place.alias("place"))
+    # One row a label, as many as the model has languages.
+    chosen = train.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter("place < _share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("none")
@@ -145,10 +154,12 @@ def fit(docs: DataFrame, max_docs: int = 3000, max_languages: int = 200, id_col:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "gram": at.astype(np.int32), "n": n[at]})
 
     grams = chosen.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = grams.groupBy("lang").agg(F.collect_list("gram").alias("g"), F.collect_list("n").alias("n")).collect()
+    found = grams.toArrow()
     counts = {x: np.zeros(NONE) for x in share}
-    for r in found:
-        counts[r["lang"]][np.array(r["g"], np.int64)] = r["n"]
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    codes, gram, n = lang.indices.to_numpy(zero_copy_only=False), found["gram"].to_numpy(), found["n"].to_numpy()
+    for k, name in enumerate(lang.dictionary.to_pylist()):
+        counts[name][gram[codes == k]] = n[codes == k]
     return build(counts)
 
 
