@@ -12,12 +12,13 @@ the whole range. It is conjugated with a step by one: p(x) = E^-1(E(x) + 1). So
 its format has only one.
 
 Kinds: card (check digit recomputed), iban (country kept, check digits recomputed), ssn, phone (country code kept), ipv4,
-date (years 1900 to 2099, order, separators and widths kept), email (letters and digits before the @), secret (letters
-and digits assigned to a name such as token or password).
+date (years 1900 to 2099, order, separators and widths kept, a time may follow), email (letters and digits before the @,
+other letters than ASCII's within their kind and their 256 neighbours), secret (letters and digits assigned to a name such
+as token or password). A value that has no other of its format isn't reported.
 
 Defined results: a null text stays null and an empty one empty, with nothing found; texts of any length are scanned
 whole; repeated rows get the same result; an empty table stays empty; of overlapping matches the leftmost counts, and at
-one place the kind first in KINDS. Columns keep their names and order.
+one place the kind first in KINDS. Columns keep their names and order; a spans_col that docs has already raises.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,13 +40,13 @@ from lodeseek.llm.common import free_name, smaller_batches, worker_cache
 
 ROUNDS = 8
 KINDS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+\u0300-\u036f-])[\w.%+\u0300-\u036f-]++@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_=.-]{12,})",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ipv4": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d)(?!\w|[./-]\d)",
+    "date": r"(?<![\w./-])(?:(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d)(?:(?=T\d\d(?!\d))|(?=T\d{4}(?!\d))|(?!\w|[./-]\d))",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
 }
 _each = {k: re.compile(p) for k, p in KINDS.items()}
@@ -101,6 +103,25 @@ def relay(form: str, filled: str) -> str:
     return "".join((c if not c.isalpha() else c.upper() if old.isupper() else c.lower()) if old.isalnum() and old.isascii() and (c := next(it)) else old for old in form)
 
 
+@lru_cache(4096)
+def alphabet(c: str) -> tuple[str, str]:
+    """The letters or digits that c may become, in lower case where they have one, and their name."""
+    if c.isascii():
+        return ("0123456789", "d") if c.isdigit() else ("abcdefghijklmnopqrstuvwxyz", "a")
+
+    def folded(x: str) -> str:
+        low = x.lower()
+        return low if len(low) == 1 and low.upper() == x else x
+
+    def cased(x: str) -> bool:
+        return len(x.upper()) == 1 and x.upper() != x and x.upper().lower() == x
+
+    low = folded(c)
+    page, kind = ord(low) >> 8, unicodedata.category(low)
+    near = [x for x in map(chr, range(page << 8, (page + 1) << 8)) if not x.isascii() and x.isalnum() and unicodedata.category(x) == kind and cased(x) == cased(low) and folded(x) == x]
+    return "".join(near), f"{page:x}{kind}{cased(low)}"
+
+
 def iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text))
 
@@ -115,18 +136,19 @@ class Pseudonyms:
         return p.invert(x) if self.back else p.apply(x)
 
     def mapped(self, kind: str, chars: str) -> str:
-        """ASCII letters to letters and digits to digits, by place."""
-        size, x = 1, 0
-        for c in chars:
-            base = 10 if c.isdigit() else 26
-            size, x = size * base, x * base + (int(c) if base == 10 else ord(c.lower()) - 97)
+        """Letters to letters and digits to digits of their own alphabets, by place; letters come out in lower case."""
+        if not chars.isascii():
+            chars = "".join(c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in chars)
+        size, x, own = 1, 0, [alphabet(c) for c in chars]
+        for c, (letters, _) in zip(chars, own):
+            size, x = size * len(letters), x * len(letters) + letters.index(c if c in letters else c.lower())
         if size == 1:
             return chars
-        shape = "".join("d" if c.isdigit() else "a" for c in chars)
+        shape = "".join(name for _, name in own)
         x, out = self.step(f"{kind}:{shape}", size, x), []
-        for c in reversed(chars):
-            x, d = divmod(x, 10 if c.isdigit() else 26)
-            out.append(str(d) if c.isdigit() else chr(97 + d))
+        for letters, _ in reversed(own):
+            x, d = divmod(x, len(letters))
+            out.append(letters[d])
         return "".join(reversed(out))
 
     @staticmethod
@@ -214,8 +236,10 @@ class Pseudonyms:
 
     def email(self, text: str) -> str | None:
         name, _, domain = text.rpartition("@")
-        chars = "".join(c for c in name if c.isalnum() and c.isascii())
-        return f"{relay(name, self.mapped('email', chars))}@{domain}"
+        chars = "".join(c for c in name if c.isalnum())
+        it = iter(self.mapped("email", chars))
+        new = "".join((new.upper() if old.isupper() else new) if old.isalnum() and (new := next(it)) else old for old in name)
+        return f"{new}@{domain}" if new != name else None
 
     def secret(self, text: str) -> str | None:
         chars = "".join(c for c in text if c.isalnum() and c.isascii())
@@ -229,8 +253,8 @@ class Pseudonyms:
 
     def stretches(self, kind: str, line: str, upto: int = 0) -> Iterator[tuple[int, int]]:
         """Start and end of each valid card or IBAN from ``upto`` on: the longest stretch, or else its parts between
-        separators, from the left and the longer one first; the search goes on behind a failed stretch's start. No part
-        begins or ends within what has another kind's form."""
+        separators, from the left and the longer one first; the search goes on behind a failed stretch's start. None
+        begins or ends within what has another kind's form, or holds it."""
         pattern = _each[kind]
         forms = None
         while m := pattern.search(line, upto):
@@ -239,9 +263,9 @@ class Pseudonyms:
             starts = cuts[:-1] if kind == "card" else [at]
             parts = [(a, b - 1) for a in starts for b in reversed(cuts) if b > a]
             for a, b in [(at, end), *parts]:
-                if forms is None and (a, b) != (at, end):
+                if forms is None:
                     forms = [m.span() for k in ("ssn", "date", "phone") for m in _each[k].finditer(line)]
-                if (a, b) != (at, end) and any(x < a < y or x < b < y for x, y in forms):
+                if any(x < a < y or x < b < y or (a <= x and y <= b) for x, y in forms):
                     continue
                 if pattern.fullmatch(line[a:b]) and getattr(self, f"is_{kind}")(line[a:b]):
                     yield a, b
@@ -303,6 +327,9 @@ RESULT_ARROW = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([(
 def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = None, back: bool = False) -> DataFrame:
     """docs with the text's personal data replaced; spans_col adds the spans (start, end, kind) in the old text."""
 
+    if spans_col and spans_col.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs has a column {spans_col} already")
+
     def run(texts: pa.Array) -> pa.Array:
         worker_cache("none")
         names = Pseudonyms(key, back)
