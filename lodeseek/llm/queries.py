@@ -88,8 +88,9 @@ j AS (SELECT r, dup, len(regexp_extract_all(b, '[^\x20\x09-\x0D]+')) AS n,
     OR 10 * length(regexp_replace(b, '[^#*$%&|<>]', '', 'g')) >= length(b)
     OR length(b) - length(replace(b, '|', '')) >= 3
     OR (length(b) - length(replace(b, ' > ', ''))) / 3 + (length(b) - length(replace(b, ' » ', ''))) / 3 >= 2
-    OR regexp_matches(b, '(?i)@BOILER@')
-    OR regexp_full_match(b, '(?i)(@MENU@)([ \t|,·-]+(@MENU@))*') AS failed FROM f),
+    OR (len(regexp_extract_all(b, '[^\x20\x09-\x0D]+')) <= @SHORT@
+      AND (regexp_full_match(s, '@MENU@') OR regexp_full_match(s, '@PARTS@') OR regexp_full_match(s, '@BOILER@'))) AS failed
+  FROM (SELECT *, rtrim(b, '@MARKS@') AS s FROM f)),
 k AS (SELECT r, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(n) FILTER (NOT failed), 0) AS kept_words FROM j GROUP BY r),
 a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
@@ -97,7 +98,10 @@ a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_char
   FROM d LEFT JOIN n USING (r) LEFT JOIN p USING (r) LEFT JOIN k USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
 SELECT *, NOT base_failed AND 100 * kept_words >= 50 * n_words AS kept FROM b
-""".replace("@END@", quality.LINE_END.replace("'", "''")).replace("@BOILER@", quality.BOILERPLATE).replace("@MENU@", quality.MENU)
+"""
+_menu, _boilerplate = quality.patterns()
+for _name, _text in {"END": quality.LINE_END, "MENU": _menu, "PARTS": quality.PARTS, "BOILER": _boilerplate, "MARKS": quality.MARKS, "SHORT": str(quality.SHORT)}.items():
+    QUALITY_SQL = QUALITY_SQL.replace(f"@{_name}@", _text.replace("'", "''"))
 
 #: Exact search; the tree's relaxed pruning loses nothing on the test tables.
 NEAREST_SQL = """
