@@ -21,10 +21,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--input", required=True, help="folder of Parquet files with id, text and embeddings")
     p.add_argument("--output", default="./parquet-index")
+    p.add_argument("--temp", help="folder, shared by all executors, for tables between steps, unless the session names one")
     p.add_argument("--index-name", default="dataset")
     p.add_argument("--limit", type=count, help="first rows to take")
     p.add_argument("--overwrite", action="store_true", help="replace an index of that name")
     a = p.parse_args(args)
+    if a.temp and spark is None:
+        SparkSession.builder.config("spark.checkpoint.dir", a.temp)
     spark = spark or SparkSession.builder.appName("lodeseek").getOrCreate()
     path = f"{a.output.rstrip('/')}/{a.index_name}"
     try:

@@ -10,6 +10,8 @@ from lodeseek.scratch import Scratch
 
 #: Decimals that decide an order: what sums differ by in their last bits doesn't.
 DECIMALS = 6
+#: Rows of a list that is ranked as a whole, in one task.
+RANKED_ROWS = 1_000_000
 #: Rows up to which a side is broadcast. Rows are ids, terms and a few numbers, or one vector.
 BROADCAST_ROWS = 20_000
 
@@ -30,10 +32,21 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def ranked(hits: DataFrame, by: str | None = None) -> DataFrame:
-    """hits with rank, from 1, in each group of ``by``; equal scores have ranks of their own, by id."""
+    """hits with rank, from 1, in each group of ``by``; equal scores have ranks of their own, by id.
+
+    Without ``by`` hits is a list, such as top_k's, that one task sorts: more than RANKED_ROWS rows raise. For more there
+    is ranked_all."""
+    rows = hits.withColumn("score", rounded(F.col("score")))
+    if by:
+        return rows.withColumn("rank", F.row_number().over(W.Window.partitionBy(by).orderBy(F.desc("score"), "doc_id")))
+    place = F.row_number().over(W.Window.partitionBy().orderBy(F.desc("score"), "doc_id"))
+    return rows.withColumn("rank", place).withColumn("rank", F.when(F.col("rank") > RANKED_ROWS, F.raise_error(F.lit("too long a list for one task: use ranked_all")).cast("int")).otherwise(F.col("rank")))
+
+
+def ranked_all(hits: DataFrame) -> DataFrame:
+    """hits of any number with rank, a long from 1; no task sorts more than its part."""
     rows = hits.withColumn("score", rounded(F.col("score")))
-    window = (W.Window.partitionBy(by) if by else W.Window.partitionBy()).orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(window))
+    return numbered(rows, [-F.col("score"), "doc_id"], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def top_k_by(hits: DataFrame, by: str, k: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """k-means and search in its clusters.
 
-Centroids are held on the driver and broadcast: one for about 10,000 rows, so 100,000 for a thousand million.
+Centroids are held on the driver and broadcast: one for about 10,000 rows, so 100,000 for a thousand million. More than
+CENTROID_BYTES of them raise: ask for fewer clusters. The sample that they are trained on has 40 rows a cluster at least.
 """
 
 from __future__ import annotations
@@ -14,27 +15,42 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import l2_squared, similarity, vector
 from lodeseek.operators.ranking import small, top_k, top_k_by
-from lodeseek.schema import ROWS_PER_CLUSTER, TRAIN_ROWS, DimensionMismatch
+from lodeseek.schema import ROWS_PER_CLUSTER, TRAIN_ROWS, TRAIN_ROWS_PER_CLUSTER, DimensionMismatch
+
+#: Bytes of centroids that are broadcast at most.
+CENTROID_BYTES = 1 << 30
 
 
 def cluster_count(n: int, per_cluster: int = ROWS_PER_CLUSTER) -> int:
     return max(-(-n // per_cluster), 2)
 
 
-def training_rows(vectors: DataFrame, most: int | None = TRAIN_ROWS, seed: int = 7) -> DataFrame:
-    """All rows up to ``most``; beyond it the ``most`` with the least hash of their id. None: all."""
+def training_rows(vectors: DataFrame, most: int | None = TRAIN_ROWS, seed: int = 7, k: int = 0) -> DataFrame:
+    """All rows up to ``most``; beyond it the ``most`` with the least hash of their id. None: all. For k clusters, most is
+    TRAIN_ROWS_PER_CLUSTER * k at least."""
+    most = most and max(most, TRAIN_ROWS_PER_CLUSTER * k)
     if most is None or len(vectors.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most:
         return vectors
     return vectors.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
 
-def nearest(x: np.ndarray, centroids: np.ndarray, block: int = 1024) -> np.ndarray:
-    """The place of the nearest centroid of each row; the first of equals."""
+def nearest(x: np.ndarray, centroids: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """The place of the nearest centroid of each row by the sum of squared differences; the first of equals.
+
+    Products find the centroids that rounding leaves in question, for most rows one; the sum decides among them."""
     out = np.empty(len(x), np.int64)
+    norms = (centroids**2).sum(axis=1)
+    block = max(1, cells // max(1, len(centroids)))
     for at in range(0, len(x), block):
         part = x[at : at + block]
-        d = np.stack([((part - c) ** 2).sum(axis=1) for c in centroids], axis=1) if len(centroids) <= 256 else (part**2).sum(axis=1)[:, None] - 2 * part @ centroids.T + (centroids**2).sum(axis=1)
-        out[at : at + block] = d.argmin(axis=1)
+        own = (part**2).sum(axis=1)
+        d = own[:, None] - 2 * part @ centroids.T + norms
+        near = d <= (d.min(axis=1) + 1e-10 * (own + norms.max()))[:, None]
+        to = near.argmax(axis=1)
+        for i in np.flatnonzero(near.sum(axis=1) > 1):
+            some = np.flatnonzero(near[i])
+            to[i] = some[((part[i] - centroids[some]) ** 2).sum(axis=1).argmin()]
+        out[at : at + block] = to
     return out
 
 
@@ -42,7 +58,7 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
     """Lloyd's centroids, started from the k rows with the least doc_id.
 
     Ends when every centroid moved by at most ``tolerance`` (squared); one without rows stays where it was. Each task
-    sends a sum and a count a cluster, whatever its rows."""
+    sends a sum and a count a cluster, whatever its rows; those are added up by cluster, and the driver gets a mean each."""
     if k < 1:
         raise ValueError("at least one cluster is needed")
     rows = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).persist()
@@ -51,6 +67,8 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
         if not first:
             return np.zeros((0, 0))
         centroids = np.array(first, float)
+        if centroids.nbytes > CENTROID_BYTES:
+            raise ValueError(f"{k} centroids of {centroids.shape[1]} numbers are more than is broadcast")
         for _ in range(iterations):
             shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
@@ -67,11 +85,19 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
                 if len(some):
                     yield pd.DataFrame({"c": some, "n": count[some], "s": list(total[some])})
 
+            def means(part: pd.DataFrame) -> pd.DataFrame:
+                own, place = np.unique(part["c"].to_numpy(), return_inverse=True)
+                order = np.argsort(place, kind="stable")
+                starts = np.searchsorted(place[order], np.arange(len(own)))
+                total = np.add.reduceat(np.vstack(part["s"].to_numpy())[order], starts, axis=0)
+                return pd.DataFrame({"c": own, "m": list(total / np.bincount(place, weights=part["n"])[:, None])})
+
             found = rows.select("v").mapInPandas(sums, "c long, n long, s array<double>")
-            found = found.select("c", "n", F.posexplode("s").alias("at", "x")).groupBy("c", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+            # 256 clusters a group: what a group holds is bounded by that and the number of tasks.
+            found = found.groupBy(F.floor(F.col("c") / 256)).applyInPandas(means, "c long, m array<double>").toArrow()
             new = centroids.copy()
-            for r in found:
-                new[r["c"], r["at"]] = r["x"] / r["n"]
+            if len(found):
+                new[found["c"].to_numpy()] = np.array(found["m"].combine_chunks().values).reshape(len(found), -1)
             moved = ((new - centroids) ** 2).sum(axis=1).max()
             centroids = new
             shared.unpersist()

@@ -113,8 +113,7 @@ ORACLE_SQL: dict[str, str] = {
     "ivf_batch": f"WITH {lloyd()}, {PROBE}, {IVF_BATCH} SELECT query_id, doc_id, score, rank FROM ib",
     "ivf_recall": f"WITH {lloyd()}, {PROBE}, {IVF_BATCH}, {batch(K)} SELECT count(*) AS n, count(ib.doc_id) AS hits FROM vb LEFT JOIN ib USING (query_id, doc_id)",
     "rrf_fuse": f"WITH n AS (SELECT doc_id, len({tokens('text')}) AS n FROM documents) {fuse(' UNION ALL '.join(rank(f'(SELECT doc_id, {s} AS score FROM n ORDER BY score DESC, doc_id LIMIT 50)') for s in ('n', '-n', 'doc_id')), K)}",
-    "rrf_scores": f"WITH n AS (SELECT doc_id, len({tokens('text')}) AS score FROM documents) SELECT doc_id, rank, round(1.0::DOUBLE / (60 + rank), 6) AS rrf FROM ({rank('n')} WHERE score >= 2000)",
-    "rrf_scores_all": f"WITH n AS (SELECT doc_id, len({tokens('text')}) AS score FROM documents) SELECT doc_id, rank, round(1.0::DOUBLE / (60 + rank), 6) AS rrf FROM ({rank('n')})",
+    "rrf_scores": f"WITH n AS (SELECT doc_id, len({tokens('text')}) AS score FROM documents) SELECT doc_id, rank, round(1.0::DOUBLE / (60 + rank), 6) AS rrf FROM ({rank('n')})",
     "hybrid_topk": f"WITH {BOTH} {HYBRID}",
     "hybrid_lexical_only": f"WITH {lexical(TEXT, 2 * K, DOCS_OF_CORPUS)} {fuse(rank('lx'), K)}",
     "hybrid_vector_only": f"WITH {vector(2 * K, VECTORS_OF_CORPUS)} {fuse(rank('vx'), K)}",
@@ -126,5 +125,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
     "index_search": f"WITH {BOTH}, hx AS ({HYBRID}), r AS (SELECT 'lexical' AS kind, * FROM (SELECT * FROM lx ORDER BY score DESC, doc_id LIMIT {K}) UNION ALL SELECT 'vector', * FROM (SELECT * FROM vx ORDER BY score DESC, doc_id LIMIT {K}) UNION ALL SELECT 'hybrid', * FROM hx) SELECT kind, r.doc_id, score, length(text)::BIGINT AS n_chars, source FROM r JOIN ({CORPUS}) c ON r.doc_id = c.doc_id",
     "dense_ids": IDS,
     "limited_scan": f"SELECT * FROM ({IDS}) WHERE doc_id < 100",
+    "ingest_documents": f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, 'd' || doc_id AS id, length(text)::BIGINT AS n_chars, len(embedding)::BIGINT AS dim, round(embedding[1]::DOUBLE, 6) AS first FROM ({CORPUS})",
+    "ingest_limited": f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, 'd' || doc_id AS id FROM ({CORPUS}) ORDER BY doc_id LIMIT 150",
+    "ingest_dim": f"SELECT DISTINCT len(embedding)::BIGINT AS dim FROM ({CORPUS})",
+    "training_sample": "SELECT clusters::INTEGER AS clusters, least(count(*), most)::BIGINT AS n, least(count(DISTINCT l_orderkey * 10 + l_linenumber), most)::BIGINT AS ids FROM lineitem, (VALUES (1, 10000), (1000, 40000)) t(clusters, most) GROUP BY clusters, most",
     "embedding_dims": "SELECT len(embedding)::BIGINT AS dim, count(*) AS n FROM embeddings GROUP BY 1",
 }

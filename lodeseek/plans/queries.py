@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from lodeseek.functions import bm25, dot, l2_squared, normalized, rrf_score, similarity, tokens, vector
 from lodeseek.operators import fusion, lexical
 from lodeseek.operators import vector as vec
-from lodeseek.operators.ranking import numbered, ranked, rounded, top_k, top_k_by
+from lodeseek.operators.ranking import numbered, ranked, ranked_all, rounded, top_k, top_k_by
 from lodeseek.scratch import Scratch
 from lodeseek.sources.index import IndexBuilder, IndexReader
+from lodeseek.sources.parquet import embedding_dim, read_documents
 
 TEXT, TWICE, K = "the of in", "the of the in the", 10
-CLUSTERS, PROBES = 8, 2
+#: Seven of eight clusters find 0.97 of the exact neighbours of the test vectors, which have no clusters; two find 0.51.
+CLUSTERS, PROBES = 8, 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,14 +173,8 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked(lexical.doc_lengths(documents(spark, sf_dir)).select("doc_id", F.col("doc_len").cast("double").alias("score")).filter("score >= 2000"))
-    return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), rounded(rrf_score(F.col("rank"))).alias("rrf"))
-
-
-def rrf_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over every document; no task ranks more than its part."""
-    rows = lexical.doc_lengths(documents(spark, sf_dir)).select("doc_id", F.col("doc_len").cast("double").alias("score"))
-    rows = numbered(rows, [-F.col("score"), "doc_id"], "place").withColumn("rank", F.col("place") + 1)
+    """Every document by its length, ranked without a task that sorts them all."""
+    rows = ranked_all(lexical.doc_lengths(documents(spark, sf_dir)).select("doc_id", F.col("doc_len").cast("double").alias("score")))
     return rows.select("doc_id", "rank", rounded(rrf_score(F.col("rank"))).alias("rrf"))
 
 
@@ -233,6 +229,36 @@ def limited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_ids(spark, sf_dir).filter("doc_id < 100")
 
 
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """The corpus as a folder of several files of id (a string), text and embeddings (doubles), in order of ids."""
+    rows = corpus(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text", F.col("embedding").cast("array<double>").alias("embeddings"))
+    path = Scratch(spark, "ingest").path("files")
+    rows.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(path)
+    return path
+
+
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_documents(spark, _folder(spark, sf_dir))
+    return rows.select("doc_id", F.col("attributes")["id"].alias("id"), F.length("text").cast("long").alias("n_chars"), F.size("embedding").cast("long").alias("dim"), rounded(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+def ingest_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of the reader, over the borders of files."""
+    return read_documents(spark, _folder(spark, sf_dir), 150).select("doc_id", F.col("attributes")["id"].alias("id"))
+
+
+def ingest_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(embedding_dim(read_documents(spark, _folder(spark, sf_dir))),)], "dim long")
+
+
+def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What k-means trains on, of more rows than that: lineitem's figures as vectors."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("embedding"))
+    few, grown = vec.training_rows(rows), vec.training_rows(rows, k=1000)
+    counts = [r.agg(F.lit(n).alias("clusters"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")) for n, r in ((1, few), (1000, grown))]
+    return counts[0].unionByName(counts[1])
+
+
 def embedding_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"))
 
@@ -249,5 +275,5 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", rounded(similarity(l2_squared(F.col("embedding"), vector(first_vector(rows))))).alias("score"))
 
 
-_ALL = (doc_lengths, corpus_stats, term_frequencies, vocabulary, bm25_term_scores, bm25_shapes, lexical_topk, lexical_duplicate_terms, lexical_no_match, lexical_batch, vector_l2, vector_dot, vector_normalize, similarity_scores, vector_exact_topk, vector_batch, kmeans_centroids, cluster_assign, cluster_sizes, nearest_clusters, ivf_topk, ivf_topk_all_probes, ivf_batch, ivf_recall, rrf_fuse, rrf_scores, rrf_scores_all, hybrid_topk, hybrid_lexical_only, hybrid_vector_only, hybrid_batch, fetch_results, index_search, dense_ids, limited_scan, embedding_dims)
+_ALL = (doc_lengths, corpus_stats, term_frequencies, vocabulary, bm25_term_scores, bm25_shapes, lexical_topk, lexical_duplicate_terms, lexical_no_match, lexical_batch, vector_l2, vector_dot, vector_normalize, similarity_scores, vector_exact_topk, vector_batch, kmeans_centroids, cluster_assign, cluster_sizes, nearest_clusters, ivf_topk, ivf_topk_all_probes, ivf_batch, ivf_recall, rrf_fuse, rrf_scores, hybrid_topk, hybrid_lexical_only, hybrid_vector_only, hybrid_batch, fetch_results, index_search, dense_ids, limited_scan, ingest_documents, ingest_limited, ingest_dim, training_sample, embedding_dims)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Rows that k-means trains on at most, and rows per cluster by default.
 TRAIN_ROWS, ROWS_PER_CLUSTER = 10_000, 10_000
+#: Rows that a cluster has in the sample at least, where the sample must grow for that.
+TRAIN_ROWS_PER_CLUSTER = 40
 
 ATTRIBUTES = T.MapType(T.StringType(), T.StringType())
 DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("attributes", ATTRIBUTES)])
@@ -37,6 +39,10 @@ class DimensionMismatch(IndexFault, ValueError):
     """Embeddings, or a query and the index, differ in length."""
 
 
+class StorageFault(IndexFault, OSError):
+    """The store answered with an error of its own, such as a denied access."""
+
+
 class InvalidDocument(IndexFault, ValueError):
     """A document lacks an id, or its embedding is null, or holds a null or a number that isn't finite."""
 

@@ -15,7 +15,8 @@ def read_documents(spark: SparkSession, folder: str, limit: int | None = None, i
     """Documents of the folder's own ``*.parquet`` files, numbered from 0 by file path and row.
 
     The file's id is kept as the attribute ``id``; double embeddings become floats. limit keeps the first so many rows,
-    by number. Raises NotFound for a missing folder, InvalidDocument for a missing or mistyped column."""
+    by number. Raises NotFound for a missing folder, InvalidDocument for a missing or mistyped column, a null id or text,
+    and a file without rows."""
     try:
         raw = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "false").parquet(folder)
     except AnalysisException as e:
@@ -28,6 +29,11 @@ def read_documents(spark: SparkSession, folder: str, limit: int | None = None, i
     if not isinstance(raw.schema[embedding_col].dataType.elementType, (T.FloatType, T.DoubleType)):
         raise InvalidDocument(f"column {embedding_col} must hold floats or doubles")
     rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(embedding_col).cast("array<float>").alias("embedding"))
+    seen = rows.agg(F.count_if(F.col("_id").isNull() | F.col("text").isNull()), F.count_distinct("_file")).first()
+    if seen[0]:
+        raise InvalidDocument(f"{seen[0]} rows have no {id_col} or no {text_col}")
+    if seen[1] < len(raw.inputFiles()):
+        raise InvalidDocument(f"{len(raw.inputFiles()) - seen[1]} files have no rows")
     out = numbered(rows, ["_file", "_row"], "doc_id")
     if limit is not None:
         out = out.filter(F.col("doc_id") < limit)
