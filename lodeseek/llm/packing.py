@@ -40,54 +40,66 @@ PACKED = PIECES + ", sequence_id long, offset long"
 ODD_SPACE = "\x1c\x1d\x1e\x1f\x85"
 
 
-class WordIds(dict):
-    """Little-endian ids of a text between white space, kept by word; nothing joins across white space.
+class PartIds(dict):
+    """Little-endian ids of words in lower case; kept are runs of letters, single marks, and words that hold anything else."""
 
-    A word not met yet is normalised and split as the tokeniser does and its parts go to the tokeniser's model; the
-    whole tokeniser is asked only where Python and it could differ: its special tokens, and the two letters that
-    become lower case by context or in two characters.
-    """
-
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, tokenize: Callable, most: int):
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, {}
-        self.model = self.tokenizer.model
+        self.tokenize, self.most = tokenize, most
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = dict(zip(kept, map(chr, kept))) | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in kept)}
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
-            few = [x.id for x in self.model.tokenize(shown)]
-            ids = struct.pack(f"<{len(few)}I", *few)
-            if len(part) <= 40:
-                if len(self.parts) >= self.most:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
-
     def __missing__(self, word: str) -> bytes:
-        if "<|" in word or "\u03a3" in word or "\u0130" in word or not word.isprintable():
-            ids = self.encode(word)
+        # Most words with a mark have one at their end: their letters are kept without it.
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        if word.isalpha() or len(word) == 1 or len(parts := self.split(word)) == 1:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+            few = [x.id for x in self.tokenize(shown)]
+            ids = struct.pack(f"<{len(few)}I", *few)
         else:
-            low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
-            ids = b"".join(map(self.part, self.split(low)))
+            ids = b"".join(map(self.__getitem__, parts))
         if len(word) <= 40:
             if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
 
+
+class WordIds:
+    """Little-endian ids of a text: it is normalised and split as the tokeniser does, and its parts, kept from text to text,
+    go to the tokeniser's model. Nothing joins across white space, so texts are taken some thousand words at a time.
+
+    The whole tokeniser is asked only for words where Python and it could differ: its special tokens, and the two letters
+    that become lower case by context or in two characters.
+    """
+
+    def __init__(self, path: str, most: int = 500_000, at_a_time: int = 10_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.at_a_time = Tokenizer.from_file(path), at_a_time
+        self.parts = PartIds(self.tokenizer.model.tokenize, most)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_words(self, words: list[str]) -> bytes:
+        text = " ".join(words)
+        if "<|" in text or "\u03a3" in text or "\u0130" in text or not text.isprintable():
+            if len(words) == 1:
+                return self.encode(text)
+            half = len(words) // 2
+            return self.of_words(words[:half]) + self.of_words(words[half:])
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        return b"".join(map(self.parts.__getitem__, low.split(" ")))
+
     def of(self, text: str) -> bytes:
         if any(map(text.__contains__, ODD_SPACE)):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        words = text.split()
+        return b"".join(self.of_words(words[at : at + self.at_a_time]) for at in range(0, len(words), self.at_a_time))
 
 
 def word_ids(path: str) -> WordIds:
