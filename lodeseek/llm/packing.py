@@ -28,6 +28,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +77,11 @@ class WordIds:
     that become lower case by context or in two characters.
     """
 
-    def __init__(self, path: str, most: int = 500_000, at_a_time: int = 10_000):
+    def __init__(self, file: str, most: int = 500_000, at_a_time: int = 10_000):
+        """file: the text of the tokeniser's file."""
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.at_a_time = Tokenizer.from_file(path), at_a_time
+        self.tokenizer, self.at_a_time = Tokenizer.from_str(file), at_a_time
         self.parts = PartIds(self.tokenizer.model.tokenize, most)
 
     def encode(self, text: str) -> bytes:
@@ -102,17 +104,18 @@ class WordIds:
         return b"".join(self.of_words(words[at : at + self.at_a_time]) for at in range(0, len(words), self.at_a_time))
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, text: str) -> WordIds:
+    """Of the tokeniser of that name; text is its file."""
     cache = worker_cache("word_ids")
     if path not in cache:
-        cache[path] = WordIds(path)
+        cache[path] = WordIds(text)
         gc.set_threshold(200_000, 50, 1000)  # hundreds of thousands of kept words, and no cycles
     return cache[path]
 
 
-def cut(tokenizer_path: str, most: int, end_id: int) -> Callable[[dict], dict]:
+def cut(tokenizer_path: str, file: Broadcast, most: int, end_id: int) -> Callable[[dict], dict]:
     def run(rows: dict[str, list]) -> dict[str, list]:
-        ids, end, step = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * most
+        ids, end, step = word_ids(tokenizer_path, file.value), np.array([end_id], "<u4").tobytes(), 4 * most
         out: dict[str, list] = {f.name: [] for f in PIECES_ARROW}
         add = [out[f.name].append for f in PIECES_ARROW]
         for doc_id, text in zip(rows["doc_id"], rows["text"]):
@@ -127,9 +130,13 @@ def cut(tokenizer_path: str, most: int, end_id: int) -> Callable[[dict], dict]:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces, the end token included."""
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces, the end token included.
+
+    The tokeniser's file, some megabytes, is read by the driver and sent to the workers."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        file = docs.sparkSession.sparkContext.broadcast(f.read())
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
-    return map_batches(src, cut(tokenizer_path, most, end_id), PIECES, PIECES_ARROW, owner="word_ids")
+    return map_batches(src, cut(tokenizer_path, file, most, end_id), PIECES, PIECES_ARROW, owner="word_ids")
 
 
 def patterns(levels: int, depth: int) -> list[tuple[int, ...]]:
