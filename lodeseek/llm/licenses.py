@@ -59,6 +59,15 @@ TEMPLATES = {
     "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Proprietary/line": "All rights reserved.",
 }
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+)
+TEMPLATES |= {
+    "BSD-3-Clause/full": f"{TEMPLATES['BSD-3-Clause/text']} {_BSD_END}",
+    "BSD-2-Clause/full": f"{TEMPLATES['BSD-2-Clause/text']} {_BSD_END}",
+    "ISC/full": TEMPLATES["ISC/text"]
+    + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+}
 #: Characters on either side of a confirmed wording that are compressed with it.
 AROUND = 100
 WORDS = re.compile(r"[\w.+/-]*\w|©")
@@ -88,10 +97,9 @@ def words_of(text: str) -> list[str]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], confirm: int, most_percent: int):
+    def __init__(self, templates: dict[str, str], most_percent: int):
         import zstandard
 
-        # confirm once bounded the templates compared by wording; now all that share triples are.
         self.most_percent = most_percent
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.packers = {n: zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
@@ -194,12 +202,12 @@ class Scanner:
                 yield k, a, b - a, *self.unexplained(text[a:b])
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, confirm: int = 4, most_percent: int = 15, gap: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """ROWS' columns, a row for each license of a candidate block, one at least. confirm is accepted as before and bounds nothing."""
+def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, most_percent: int = 15, gap: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """ROWS' columns, a row for each license of a candidate block, one at least."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(HINT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, confirm, most_percent)
+        scanner = Scanner(templates, most_percent)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
