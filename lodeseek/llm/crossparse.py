@@ -118,15 +118,13 @@ class SuffixAutomaton:
 def own_phrases(words: Iterable) -> int:
     """Phrases of the LZ78 parsing of words by themselves."""
     seen: dict[tuple, int] = {}
-    state = 0
+    get, state, n = seen.get, 0, 0
     for w in words:
         key = (state, w)
-        if (to := seen.get(key)) is None:
-            seen[key] = len(seen) + 1
-            state = 0
-        else:
-            state = to
-    return len(seen) + (state > 0)
+        if (state := get(key, 0)) == 0:
+            n += 1
+            seen[key] = n
+    return n + (state > 0)
 
 
 def figures(words: Sequence, phrases: int, reference_words: int) -> tuple:
@@ -207,7 +205,8 @@ class Block:
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         ends = np.cumsum(self.sizes)
         self.room = (np.repeat(ends, self.sizes) - np.arange(len(self.codes))).astype(np.int32)
-        self.hash = {1: np.frombuffer(row["vocabulary"], np.uint64)[self.codes]}
+        self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+        self.hash = {1: self.vocabulary[self.codes]}
 
     def hashes(self, n: int) -> np.ndarray:
         """Of the n words from each place on; past a row's end they mean nothing."""
@@ -227,6 +226,8 @@ class Block:
         """The distinct hashes of the paths of n words to ask for, where shorter ones (grams[:known]) were all shared; the
         places that they start at, and each place's path; how many reference rows hold a path (0, 1 or 2, for several), 3
         more where several rows of any kind do; and one reference row of each."""
+        if n == 1:
+            return self.words(bits)
         good = self.room >= n
         if known:
             good &= stretch(state % 16 >= known) >= n - grams[known - 1] + 1
@@ -247,6 +248,22 @@ class Block:
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         return h[starts], at, np.cumsum(new) - 1, (np.where(most < 0, 0, np.where(least == most, 1, 2)) + 3 * several).astype(np.uint8), most
 
+    def words(self, bits: int):
+        """paths of single words. Places are in order of rows, so a word's first and last place tell whether several hold it."""
+        h, own = np.unique(self.vocabulary >> np.uint64(max(0, 64 - bits)), return_inverse=True)
+        path = own[self.codes]
+
+        def ends(of: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first, last = np.full(len(h), 2**31 - 1, np.int32), np.full(len(h), -1, np.int32)
+            first[of[::-1]], last[of] = doc[::-1], doc  # of equal places the last that is written stays
+            return first, last
+
+        any_first, any_last = ends(path, self.doc)
+        held = self.held[self.doc]
+        least, most = (any_first, any_last) if held.all() else ends(path[held], self.doc[held])
+        rows = np.where(most < 0, 0, np.where(least == most, 1, 2)) + 3 * (any_first != any_last)
+        return h, np.arange(len(self.codes)), path, rows.astype(np.uint8), most
+
     def found(self, n: int, answer: np.ndarray, state: np.ndarray, grams: tuple[int, ...], known: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether another row of the reference, or any other row, holds the path of n words from each place on."""
         _, at, path, rows, one = self.paths(n, state, grams, known, bits)
@@ -353,7 +370,7 @@ def after(block: Block, row: dict, grams: tuple[int, ...], first: int, upto: int
     return out
 
 
-def cross_parsed(docs: DataFrame, reference: Column | None = None, grams: tuple[int, ...] = GRAMS, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_parsed(docs: DataFrame, reference: Column | None = None, grams: tuple[int, ...] = GRAMS, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORES' columns for each row of docs. reference: a flag of the rows whose texts are the reference; all without it."""
     if list(grams) != sorted(set(grams)) or grams[:1] != (1,) or len(grams) > 15:
         raise ValueError("grams are at most 15 lengths, rising from 1")
