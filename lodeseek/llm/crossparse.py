@@ -17,9 +17,9 @@ makes the work a product of corpus and corpus. So the automaton's paths of GRAMS
    once, however often its rows repeat it, so no path is hot.
 3. A task that gets a range of hashes adds that up over blocks, and answers each block. One reference row alone is
    another one than the asking row unless the block itself has it and it is that row.
-4. A phrase is the longest stretch of which every window of each length in GRAMS occurs in the reference. Up to four
+4. A phrase is the longest stretch of which every window of each length in GRAMS occurs in the reference. Up to eight
    words that is the automaton's longest match itself; a longer stretch could be pieced together from texts that overlap
-   by all but one to four words (one by one from 16 words on), which the README counts against the automaton.
+   in long windows (all but one word, from 32 words on), which the README counts against the automaton.
 
 The work is in proportion to the words of the corpus, and a hash has 24 bits more than the corpus needs to count its
 words, so that the chance of a wrong answer is 2**-24 at any size.
@@ -48,7 +48,7 @@ from lodeseek.llm.common import Scratch, bytes_of, filesystem, shards_for, small
 SCORES = "doc_id long, n_words long, n_phrases long, reference_words long, cross_bits double, self_bits double, relative_entropy double"
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_phrases", pa.int64()), ("reference_words", pa.int64()), ("cross_bits", pa.float64()), ("self_bits", pa.float64()), ("relative_entropy", pa.float64())])
 #: Lengths of the paths that are looked up, rising from 1.
-GRAMS = (1, 2, 3, 4, 6, 8, 12, 16)
+GRAMS = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 32)
 #: Hashes that a task adds up at a time.
 PER_PART = 2_000_000
 BLOCKS = "shard int, block int, words long, reference_words long, ids array<bigint>, sizes array<int>, held binary, codes binary, vocabulary binary"
