@@ -76,11 +76,15 @@ def shingle_set(text: bytes | None, width: int = 3) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 2048):
-        h = (shingles[at : at + 2048, None] * A + B) >> np.uint64(32)
-        np.minimum(out, h.min(axis=0).astype(np.uint32), out=out)
-    return out
+    # The least of the upper halves is the upper half of the least; some hundred rows at a time stay in a core's cache.
+    out = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    room = np.empty((min(256, len(shingles)), HASHES), np.uint64)
+    for at in range(0, len(shingles), 256):
+        part = shingles[at : at + 256, None]
+        h = np.multiply(part, A, out=room[: len(part)])
+        h += B
+        np.minimum(out, h.min(axis=0), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def sketch_rows(rows: dict[str, list]) -> dict[str, list]:
