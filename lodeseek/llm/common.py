@@ -29,13 +29,14 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
 def worker_cache(owner: str) -> dict:
     """A dict that lives as long as the Python worker, over its tasks, until another owner asks for one.
 
-    Operators without one ask too, so that what another left doesn't add to what they need."""
+    Operators without one ask too, so that what another left doesn't add to what they need. The package is pickled by
+    value, so each task has its own copy of its modules; the dict is kept in a module of its own, which workers make."""
     import ctypes
     import gc
+    import sys
+    import types
 
-    import pyspark
-
-    held = pyspark.__dict__.setdefault("_lodeseek_cache", {})
+    held = sys.modules.setdefault("lodeseek_worker_state", types.ModuleType("lodeseek_worker_state")).__dict__.setdefault("held", {})
     if owner not in held and held:
         held.clear()
         gc.unfreeze()
@@ -48,7 +49,8 @@ def worker_cache(owner: str) -> dict:
 
 
 def smaller_batches(spark: SparkSession, rows: int = 2500) -> None:
-    """Rows of text are large: unless the session says otherwise, fewer of them travel to Python at once."""
+    """Rows of text are large: where the session has the default, fewer of them travel to Python at once from here on. A
+    batch's size can be set by session alone; one that has another value keeps it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, rows)
