@@ -41,6 +41,10 @@ AGREE = 94
 BLOCK = 2048
 #: Comparisons of two members, and members, that a task of round two gets about.
 COMPARISONS, MEMBERS = 4_000_000, 20_000
+#: Members of a family that are confirmed together, and texts that a task confirms.
+FAMILY, TEXTS = 512, 1500
+#: Pairs of a group and an id that are broadcast at most: 8 MB.
+BROADCAST_IDS = 500_000
 SKETCH = "doc_id long, n_shingles long, fp binary, sig binary, bytes binary"
 SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("bytes", pa.binary())])
 _rng = np.random.default_rng(20240229)
@@ -123,30 +127,49 @@ def agreeing(pairs: DataFrame, classes: DataFrame, agree: int = AGREE) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b) of ids, those whose full shingle sets overlap by percent or more, as edges u, v.
 
-    Texts are fetched for the ids in pairs alone; the larger id's first, as each class has few pairs under it, while a
-    bucket's least id may have very many: those rows then meet its one text in a join that AQE can split."""
-    own = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    other = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    # The join must not be decided by what the tables hold on disk: a text's row is far larger than a pair.
-    both = pairs.join(own, "b").join(other, "a").select("a", "b", "ta", "tb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                ta = ta.as_py()
-                if (a, ta) != last:
-                    last, known = (a, ta), shingle_set(ta)
-                s = shingle_set(tb.as_py())
-                common = len(np.intersect1d(known, s, assume_unique=True))
-                keep.append(100 * common >= percent * (len(known) + len(s) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(keep)), batch.column(0).filter(pa.array(keep))], names=["u", "v"])
-
-    return both.mapInArrow(run, "u long, v long")
+    Pairs are put together by family, the least id that b is paired with, so that a text that has many pairs is sent once
+    for FAMILY members of the family rather than once a pair. Tasks take families, or pairs of their blocks, by hash."""
+    family = pairs.groupBy("b").agg(F.min("a").alias("family"))
+    tagged = pairs.join(family, "b")
+    members = tagged.select("family", F.explode(F.array("a", "b")).alias("id")).distinct()
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("blocks"))
+    place = [F.pmod(F.xxhash64(F.lit("block"), c), F.col("blocks")) for c in ("a", "b")]
+    tagged = scratch.save(tagged.join(blocks, "family").select("a", "b", F.xxhash64("family", F.least(*place), F.greatest(*place)).alias("group")), f"pairs-{id(pairs)}")
+    needs = scratch.save(tagged.select("group", F.explode(F.array("a", "b")).alias("id")).distinct(), f"needs-{id(pairs)}")
+    n = needs.count()
+    task = F.pmod(F.col("group"), F.lit(shards_for(n, TEXTS))).cast("int").alias("task")
+    # Ids are broadcast while they are few, so that no other text is moved; beyond that a text, far larger than what the
+    # tables hold on disk, is shuffled to them, and never broadcast.
+    wanted = docs.filter("text is not null")
+    both = wanted.join(F.broadcast(needs), F.col("id") == F.col("doc_id")) if n <= BROADCAST_IDS else needs.join(wanted.hint("shuffle_merge"), F.col("id") == F.col("doc_id"))
+    texts, mine = both.select(task, "id", "text"), tagged.select(task, "a", "b")
+
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        worker_cache("word_hash")
+        # Rows that share an id are one node: every text of it may make a link.
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, text in zip(texts.column("id").to_pylist(), texts.column("text")):
+            new = shingle_set(text.as_py())
+            own = sets.setdefault(i, [])
+            if not any(np.array_equal(new, x) for x in own):
+                own.append(new)
+        u, v = [], []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            if any(linked(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ())):
+                u.append(b), v.append(a)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return texts.groupBy("task").cogroup(mine.groupBy("task")).applyInArrow(run, "u long, v long")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -215,11 +238,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     least = entries.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
     stars = entries.join(least, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     stars = scratch.save(agreeing(stars, classes, agree), "stars")
-    links = scratch.save(confirmed(stars, texts, percent), "links")
+    links = scratch.save(confirmed(stars, texts, percent, scratch), "links")
     component = scratch.save(connected_components(links, scratch), "first")
     more = scratch.save(open_pairs(entries, classes, component, scratch, percent, agree).join(stars, ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
-        more = scratch.save(confirmed(more, texts, percent), "more")
+        more = scratch.save(confirmed(more, texts, percent, scratch), "more")
         component = scratch.save(connected_components(component.select("u", F.col("component").alias("v")).union(more), scratch), "second")
     # Copies of a class and linked classes alone are joined back.
     copies = able.select("doc_id", "fp").join(own.filter("n > 1").select("fp", "rep"), "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
