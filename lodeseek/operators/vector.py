@@ -85,19 +85,12 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
                 if len(some):
                     yield pd.DataFrame({"c": some, "n": count[some], "s": list(total[some])})
 
-            def means(part: pd.DataFrame) -> pd.DataFrame:
-                own, place = np.unique(part["c"].to_numpy(), return_inverse=True)
-                order = np.argsort(place, kind="stable")
-                starts = np.searchsorted(place[order], np.arange(len(own)))
-                total = np.add.reduceat(np.vstack(part["s"].to_numpy())[order], starts, axis=0)
-                return pd.DataFrame({"c": own, "m": list(total / np.bincount(place, weights=part["n"])[:, None])})
-
             found = rows.select("v").mapInPandas(sums, "c long, n long, s array<double>")
-            # 256 clusters a group: what a group holds is bounded by that and the number of tasks.
-            found = found.groupBy(F.floor(F.col("c") / 256)).applyInPandas(means, "c long, m array<double>").toArrow()
+            found = found.select("c", "n", F.posexplode("s").alias("at", "x")).groupBy("c", "at").agg((F.sum("x") / F.sum("n")).alias("m"))
+            found = found.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("m")).select("c", F.col("m.m").alias("m")).toArrow()
             new = centroids.copy()
             if len(found):
-                new[found["c"].to_numpy()] = np.array(found["m"].combine_chunks().values).reshape(len(found), -1)
+                new[found["c"].to_numpy()] = found["m"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1)
             moved = ((new - centroids) ** 2).sum(axis=1).max()
             centroids = new
             shared.unpersist()

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lodeseek.functions import bm25, dot, l2_squared, normalized, rrf_score, similarity, tokens, vector
 from lodeseek.operators import fusion, lexical
 from lodeseek.operators import vector as vec
-from lodeseek.operators.ranking import numbered, ranked, ranked_all, rounded, top_k, top_k_by
+from lodeseek.operators.ranking import numbered, ranked, ranked_all, rounded, top_k
 from lodeseek.scratch import Scratch
 from lodeseek.sources.index import IndexBuilder, IndexReader
-from lodeseek.sources.parquet import embedding_dim, read_documents
+from lodeseek.sources.parquet import embedding_dim, read_documents, spread
 
 TEXT, TWICE, K = "the of in", "the of the in the", 10
 #: Seven of eight clusters find 0.97 of the exact neighbours of the test vectors, which have no clusters; two find 0.51.
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have a text and an embedding."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     attributes = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     return docs.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding", attributes.alias("attributes"))
 
@@ -196,8 +196,7 @@ def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each hundredth document as a query, by its text and its embedding."""
     rows = corpus(spark, sf_dir)
     asked = hundredths(rows)
-    p = lexical.postings(rows)
-    text = top_k_by(lexical.lexical_hits(p, lexical.vocabulary(p), lexical.corpus_stats(rows), asked.select("query_id", "text")), "query_id", 2 * K)
+    text = lexical.lexical_batch(rows, asked.select("query_id", "text"), 2 * K)
     near = vec.vector_batch(rows, asked.select("query_id", "embedding"), 2 * K)
     return fusion.rrf_fuse([text, near], K, "query_id")
 

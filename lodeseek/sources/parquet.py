@@ -11,6 +11,22 @@ from lodeseek.operators.ranking import numbered
 from lodeseek.schema import DimensionMismatch, EmptyIndex, InvalidDocument, NotFound
 
 
+#: Bytes of a table that spread() spreads at most.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(rows: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """rows of a small Parquet table over all cores: one of fewer files than there are cores, and of at most ``most`` bytes,
+    is often one row group, and would be one task. Larger tables come as they are: their row groups are spread already."""
+    spark = rows.sparkSession
+    cores, paths = spark.sparkContext.defaultParallelism, rows.inputFiles()
+    if not 0 < len(paths) < cores:
+        return rows
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return rows.repartition(cores) if sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in files) <= most else rows
+
+
 def read_documents(spark: SparkSession, folder: str, limit: int | None = None, id_col: str = "id", text_col: str = "text", embedding_col: str = "embeddings") -> DataFrame:
     """Documents of the folder's own ``*.parquet`` files, numbered from 0 by file path and row.
 
