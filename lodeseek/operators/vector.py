@@ -17,6 +17,8 @@ from lodeseek.functions import l2_squared, similarity, vector
 from lodeseek.operators.ranking import small, top_k, top_k_by
 from lodeseek.schema import ROWS_PER_CLUSTER, TRAIN_ROWS, TRAIN_ROWS_PER_CLUSTER, DimensionMismatch
 
+#: Numbers of all tasks' sums that the driver adds up at most, 16 MB.
+PARTIAL_NUMBERS = 2_000_000
 #: Bytes of centroids that are broadcast at most.
 CENTROID_BYTES = 1 << 30
 
@@ -58,7 +60,8 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
     """Lloyd's centroids, started from the k rows with the least doc_id.
 
     Ends when every centroid moved by at most ``tolerance`` (squared); one without rows stays where it was. Each task
-    sends a sum and a count a cluster, whatever its rows; those are added up by cluster, and the driver gets a mean each."""
+    sends a sum and a count a cluster, whatever its rows; beyond PARTIAL_NUMBERS those are added up by cluster before the
+    driver gets them."""
     if k < 1:
         raise ValueError("at least one cluster is needed")
     rows = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).persist()
@@ -69,6 +72,8 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
         centroids = np.array(first, float)
         if centroids.nbytes > CENTROID_BYTES:
             raise ValueError(f"{k} centroids of {centroids.shape[1]} numbers are more than is broadcast")
+        # Few enough numbers from all tasks are added up by the driver; more by tasks first, so that it gets a row a cluster.
+        few = rows.rdd.getNumPartitions() * centroids.size <= PARTIAL_NUMBERS
         for _ in range(iterations):
             shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
@@ -86,11 +91,15 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, tolerance: float =
                     yield pd.DataFrame({"c": some, "n": count[some], "s": list(total[some])})
 
             found = rows.select("v").mapInPandas(sums, "c long, n long, s array<double>")
-            found = found.select("c", "n", F.posexplode("s").alias("at", "x")).groupBy("c", "at").agg((F.sum("x") / F.sum("n")).alias("m"))
-            found = found.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("m")).select("c", F.col("m.m").alias("m")).toArrow()
-            new = centroids.copy()
-            if len(found):
-                new[found["c"].to_numpy()] = found["m"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1)
+            if not few:
+                found = found.select("c", "n", F.posexplode("s").alias("at", "x")).groupBy("c", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+                found = found.groupBy("c").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")).select("c", "n", F.col("s.x").alias("s"))
+            new, some = centroids.copy(), found.toArrow()
+            if len(some):
+                total, count = np.zeros(new.shape), np.zeros(len(new))
+                np.add.at(total, some["c"].to_numpy(), some["s"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1))
+                np.add.at(count, some["c"].to_numpy(), some["n"].to_numpy())
+                new[count > 0] = total[count > 0] / count[count > 0, None]
             moved = ((new - centroids) ** 2).sum(axis=1).max()
             centroids = new
             shared.unpersist()

@@ -211,9 +211,10 @@ def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds and stores an index of the corpus, opens it, and searches all three ways."""
     rows = corpus(spark, sf_dir)
-    path = Scratch(spark, "index").path("corpus")
-    IndexBuilder(spark, len(first_vector(rows)), CLUSTERS).add_all(rows).build(path)
-    reader, q = IndexReader.open(spark, path), first_vector(rows)
+    scratch = Scratch(spark, "index")
+    path, q = scratch.path("corpus"), first_vector(rows)
+    IndexBuilder(spark, len(q), CLUSTERS).add_all(rows).build(path)
+    reader = IndexReader.open(spark, path)
     found = {"lexical": reader.search_lexical(TEXT, K), "vector": reader.search_vector(q, K, CLUSTERS), "hybrid": reader.search_hybrid(TEXT, q, K, CLUSTERS)}
     parts = [r.select(F.lit(kind).alias("kind"), "doc_id", "score", F.length("text").cast("long").alias("n_chars"), F.col("attributes")["source"].alias("source")) for kind, r in found.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
