@@ -194,9 +194,16 @@ def build_index(vectors: DataFrame, per_shard: int = 8192, leaf: int = 512, id_c
     norm = F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
     found = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("most")).collect()}
     most = {d: r["most"] for d, r in found.items()}
-    wanted = F.create_map(*[F.lit(x) for d, r in found.items() for x in (d, min(MOST_PIVOTS, shards_for(r["n"], per_shard)))]) if found else F.lit(None)
-    some = W.Window.partitionBy("dim").orderBy(F.xxhash64(F.lit("pivot"), "id"), "id")
-    sample = rows.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= MOST_PIVOTS).filter(F.col("place") <= F.element_at(wanted, F.col("dim"))).orderBy("dim", "place").collect() if found else []
+    wanted = {d: min(MOST_PIVOTS, shards_for(r["n"], per_shard)) for d, r in found.items()}
+    sample = []
+    if found:
+        # The least hashes; all but a few times as many as are wanted are left out before they are sorted.
+        share = {d: min(1.0, max(64, 4 * wanted[d]) / r["n"]) for d, r in found.items()}
+        most_h = F.create_map(*[x for d in found for x in (F.lit(d), F.lit(int(share[d] * (1 << 40))).cast("long"))])
+        few = rows.withColumn("h", F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.lit(1 << 40))).filter(F.col("h") <= F.element_at(most_h, F.col("dim")))
+        place = F.row_number().over(W.Window.partitionBy("dim").orderBy("h", "id"))
+        enough = F.create_map(*[F.lit(x) for d in found for x in (d, wanted[d])])
+        sample = few.withColumn("place", place).filter(F.col("place") <= F.element_at(enough, F.col("dim"))).orderBy("dim", "place").collect()
     pivots = {}
     for d in found:
         x = np.array([r["v"] for r in sample if r["dim"] == d], float)
