@@ -11,8 +11,8 @@ whether a sequence of words occurs in it; one automaton of a corpus fits no task
 makes the work a product of corpus and corpus. So the automaton's paths of GRAMS words are spread over tasks by their hash:
 
 1. One Arrow pass turns texts into blocks of about ``block_words`` words: numbers of words, and the words' hashes.
-2. A block asks for its distinct paths of 1 and 2 words, then of 3, then of the longer lengths, each only where all
-   shorter paths within it were found in two rows or more. What it asks for, it also holds: with each path it says whether
+2. A block asks for its distinct paths of 1 and 2 words, then of 3, of 4, of 5, then of the longer lengths, each only where
+   all shorter paths within it were found in two rows or more. What it asks for, it also holds: with each path it says whether
    one or several of its rows have it, and whether none, one or several of its reference rows do. A block sends a path
    once, however often its rows repeat it, so no path is hot.
 3. A task that gets a range of hashes adds that up over blocks, and answers each block. One reference row alone is
@@ -49,6 +49,8 @@ SCORES = "doc_id long, n_words long, n_phrases long, reference_words long, cross
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_phrases", pa.int64()), ("reference_words", pa.int64()), ("cross_bits", pa.float64()), ("self_bits", pa.float64()), ("relative_entropy", pa.float64())])
 #: Lengths of the paths that are looked up, rising from 1.
 GRAMS = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 32)
+#: Places in GRAMS at which a round of questions begins: the fewer words, the more paths are shared by chance.
+FIRST_OF_ROUND = (0, 2, 3, 4, 5)
 #: Hashes that a task adds up at a time.
 PER_PART = 2_000_000
 BLOCKS = "shard int, block int, words long, reference_words long, ids array<bigint>, sizes array<int>, held binary, codes binary, vocabulary binary"
@@ -383,7 +385,8 @@ def cross_parsed(docs: DataFrame, reference: Column | None = None, grams: tuple[
     words, reference_words = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("reference_words"), F.lit(0))).first()
     bits, parts = min(64, int(words).bit_length() + 24), shards_for(int(words), PER_PART)
     states = answers = None
-    rounds = [(a, b) for a, b in ((0, min(2, len(grams))), (2, 3), (3, len(grams))) if a < b <= len(grams)]
+    cuts = [k for k in FIRST_OF_ROUND if k < len(grams)] + [len(grams)]
+    rounds = list(zip(cuts, cuts[1:]))
     for k, (a, b) in enumerate(rounds):
         if k:
             before = rounds[k - 1]
