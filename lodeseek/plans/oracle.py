@@ -128,6 +128,6 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
     "ingest_documents": f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, 'd' || doc_id AS id, length(text)::BIGINT AS n_chars, len(embedding)::BIGINT AS dim, round(embedding[1]::DOUBLE, 6) AS first FROM ({CORPUS})",
     "ingest_limited": f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, 'd' || doc_id AS id FROM ({CORPUS}) ORDER BY doc_id LIMIT 150",
     "ingest_dim": f"SELECT DISTINCT len(embedding)::BIGINT AS dim FROM ({CORPUS})",
-    "training_sample": "SELECT clusters::INTEGER AS clusters, least(count(*), most)::BIGINT AS n, least(count(DISTINCT l_orderkey * 10 + l_linenumber), most)::BIGINT AS ids FROM lineitem, (VALUES (1, 10000), (1000, 40000)) t(clusters, most) GROUP BY clusters, most",
+    "training_sample": "SELECT clusters::INTEGER AS clusters, least(count(*), most)::BIGINT AS n, least(count(*), most)::BIGINT AS ids FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber FROM lineitem), (VALUES (1, 10000), (1000, 40000)) t(clusters, most) GROUP BY clusters, most",
     "embedding_dims": "SELECT len(embedding)::BIGINT AS dim, count(*) AS n FROM embeddings GROUP BY 1",
 }

@@ -253,7 +253,8 @@ def ingest_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What k-means trains on, of more rows than that: lineitem's figures as vectors."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("embedding"))
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"))
+    rows = rows.agg(F.array(F.max("l_quantity").cast("double"), F.max("l_discount").cast("double")).alias("embedding"))
     few, grown = vec.training_rows(rows), vec.training_rows(rows, k=1000)
     counts = [r.agg(F.lit(n).alias("clusters"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")) for n, r in ((1, few), (1000, grown))]
     return counts[0].unionByName(counts[1])
