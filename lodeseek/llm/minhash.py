@@ -43,7 +43,7 @@ BLOCK = 2048
 COMPARISONS, MEMBERS = 4_000_000, 20_000
 #: Members of a family that are confirmed together, and texts that a task confirms.
 FAMILY, TEXTS = 512, 1500
-#: Pairs of a group and an id that are broadcast at most: 8 MB.
+#: Ids, or pairs of a group and an id, that are broadcast at most: 8 MB.
 BROADCAST_IDS = 500_000
 SKETCH = "doc_id long, n_shingles long, fp binary, sig binary, bytes binary"
 SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("bytes", pa.binary())])
@@ -259,7 +259,9 @@ def deduplicated(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", tex
     scratch = Scratch(docs.sparkSession, "dedup")
     marked = scratch.save(near_duplicates(docs, percent, id_col, text_col), "marked")
     own = free_name(docs, "_gone")
-    gone = marked.filter("not kept").select(F.col("doc_id").alias(own)).distinct()
+    gone = scratch.save(marked.filter("not kept").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    # Few ids are broadcast, so that texts stay where they are.
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     out = docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti")
     ids = marked.filter("kept and doc_id is not null and n_shingles > 0")
     twice = scratch.save(ids.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(own)), "twice")
